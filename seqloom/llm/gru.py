@@ -168,12 +168,16 @@ class Gru:
         g["emb"][t[edges]] = np.add.reduceat(de[order], edges, axis=0)
         return float(loss) / count, g, h
 
-    def train(self, segments: list[np.ndarray], rate: float, lanes: int = 96, window: int = 32, clip: float = 1.0, seed: int = 0) -> float:
-        """One pass of Adam over segments, each a run of tokens of one document; the state is carried from a segment's window to its next."""
+    def train(self, segments: list[np.ndarray], rate: float, lanes: int | None = None, window: int = 32, clip: float = 1.0, seed: int = 0) -> float:
+        """One pass of Adam over segments, each a run of tokens of one document; the state is carried from a segment's window to its next.
+
+        lanes: segments side by side; by default fewer for few segments, so that there are enough steps.
+        """
         rng = np.random.default_rng(seed)
         segments = [s for s in segments if len(s)]
         if not segments:
             return 0.0
+        lanes = lanes or min(96, max(8, len(segments) // 64))
         order = np.argsort([len(s) for s in segments], kind="stable")
         batches = [order[i : i + lanes] for i in range(0, len(order), lanes)]
         m, v, step, losses = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, []

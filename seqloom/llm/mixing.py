@@ -3,7 +3,8 @@
 Words are apportioned as blocks of equal size. Sources get integer quotas of blocks by highest quotients
 target / (2 k + 1); a source's quota is apportioned again to groups of its shards and from groups to shards, so that no
 window sees more than a few thousand rows. A shard holds documents in a seeded order and takes whole rounds of its blocks
-plus a run of blocks from a seeded start, so that all but two documents of a shard are taken in whole rounds.
+plus a run of blocks from a seeded start, so that all but two documents of a shard are taken in whole rounds. A shard's
+blocks are equal to a word: its words are divided by the whole number of blocks that is nearest.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import WORD, broadcast_if_small, free_name, saved
 
 #: Words in a block, words in a shard, shards in a group.
-BLOCK, SHARD, GROUP = 16, 1 << 16, 1024
+BLOCK, SHARD, GROUP = 8, 1 << 16, 1024
 
 
 def n_words(text: Column) -> Column:
@@ -95,29 +96,18 @@ def mix(docs: DataFrame, seed: int = 0, weights: tuple[float, ...] = (5, 2, 1),
     groups = sainte_lague(groups, ["source"], F.col("_quota"), "words", ["grp"], "quota").select(F.col("source").alias("_s"), F.col("grp").alias("_g"), F.col("quota").alias("_quota"))
     quotas = shards.join(groups, F.col("source").eqNullSafe(F.col("_s")) & (F.col("grp") == F.col("_g"))).drop("_s", "_g")
     quotas = sainte_lague(quotas, ["source", "grp"], F.col("_quota"), "words", ["shard"], "quota")
-    quotas = saved(quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), F.col("words").alias("_words"), F.least(F.col("quota"), F.ceil(F.col("words") / block) * int(most)).alias("_quota")))
+    quotas = saved(quotas.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), F.col("words").alias("_words"), F.greatest(F.lit(1), F.round(F.col("words") / block)).cast("long").alias("_blocks"), F.col("quota").alias("_quota")))
 
-    # blocks of a shard: _rounds times all, and _run blocks more from block _from on, around the end
+    # blocks of a shard: _rounds times all, and _run blocks more from block _first on
     placed = joined.withColumn("_end", F.sum("size").over(Window.partitionBy(src, shard_of).orderBy(h, "size", F.xxhash64(text_col)).rowsBetween(Window.unboundedPreceding, 0)))
-    placed = placed.join(quotas, F.col(src).eqNullSafe(F.col("_s")) & (F.col(shard_of) == F.col("_h")), "left")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_words") / block))
-    first = F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(f"start {seed}"), F.col(src), F.col(shard_of).cast("string"))), 1, 8), 16, 10).cast("long") % blocks
-    placed = placed.withColumn("_rounds", F.floor(F.col("_quota") / blocks)).withColumn("_from", first * block)
-    run_words = F.least((F.col("_quota") - F.col("_rounds") * blocks) * block, F.col("_words"))
-    placed = placed.withColumn("_to", F.col("_from") + run_words).withColumn("_start", F.col("_end") - F.col("size"))
-
-    def meets(lo: Column, hi: Column) -> tuple[Column, Column]:
-        a, b = F.greatest(F.col("_start"), lo), F.least(F.col("_end"), hi)
-        return a, F.greatest(b, a)
-
-    a1, b1 = meets(F.col("_from"), F.least(F.col("_to"), F.col("_words")))
-    a2, b2 = meets(F.lit(0), F.col("_to") - F.col("_words"))
-    head, wrapped = b1 - a1, F.when(F.col("_to") > F.col("_words"), b2 - a2).otherwise(F.lit(0))
-    # a document that meets both ends of the run keeps the longer part
-    placed = placed.withColumn("_head", head).withColumn("_wrap", wrapped)
-    use_head = F.col("_head") >= F.col("_wrap")
-    rest = F.greatest(F.col("_head"), F.col("_wrap"))
-    begin = F.when(use_head, a1).otherwise(a2) - F.col("_start")
+    placed = placed.join(quotas, F.col(src).eqNullSafe(F.col("_s")) & (F.col(shard_of) == F.col("_h")), "left").withColumn("_quota", F.least(F.col("_quota"), F.col("_blocks") * int(most)))
+    placed = placed.withColumn("_rounds", F.floor(F.col("_quota") / F.col("_blocks"))).withColumn("_run", F.col("_quota") - F.col("_rounds") * F.col("_blocks"))
+    number = F.conv(F.substring(F.md5(F.concat_ws("\x1f", F.lit(f"start {seed}"), F.col(src), F.col(shard_of).cast("string"))), 1, 8), 16, 10).cast("long")
+    placed = placed.withColumn("_first", number % (F.col("_blocks") - F.col("_run") + 1)).withColumn("_start", F.col("_end") - F.col("size"))
+    edge = lambda i: F.floor(i * F.col("_words") / F.col("_blocks"))
+    lo = F.greatest(F.col("_start"), edge(F.col("_first")))
+    rest = F.greatest(F.lit(0), F.least(F.col("_end"), edge(F.col("_first") + F.col("_run"))) - lo)
+    begin = lo - F.col("_start")
     return placed.select(
         *[F.col(c) for c in docs.columns], "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
         F.when(F.col("size") > 0, F.col("_rounds") * F.col("size") + rest).otherwise(F.lit(0)).cast("long").alias("taken"),

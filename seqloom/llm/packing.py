@@ -46,7 +46,7 @@ class CachedTokenizer:
         if len(self.new) > self.cache_words // 2:
             self.new, self.old = {}, self.new
         old, missing = self.old, []
-        for w in words:
+        for w in words - self.new.keys():
             ids = old.get(w)
             if ids is None:
                 missing.append(w)
@@ -59,7 +59,7 @@ class CachedTokenizer:
         """For each text its ids and then end, as little-endian bytes of self.dtype."""
         tail, out = np.array([end], self.dtype).tobytes(), []
         split = [t.encode().split() for t in texts]
-        self._learn({w for words in split for w in words} - self.new.keys())
+        self._learn({w for words in split for w in words})
         get = self.new.__getitem__
         for words in split:
             out.append(b"".join(map(get, words)) + tail)
