@@ -14,38 +14,45 @@ alike, and no candidate link between different classes is lost.
 from __future__ import annotations
 
 import bisect
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_saved, free_name, saved, with_row_number
 from .components import components
+from .packing import chunks
 
 #: Words in a shingle, seeds, labelled shingles for each seed, least similarity.
 K, BANDS, PICK, LEAST = 5, 12, 3, 0.8
+#: Characters sketched at once: arrays of this many words stay in a core's cache.
+CHUNK_CHARS = 1 << 18
+
+
+PAD = 0x5851F42D4C957F2D
+LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class Words:
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self, cache: int = 300_000):
+    def __init__(self, cache: int = 400_000):
         self.seen: dict[bytes, int] = {}
         self.cache = cache
 
-    def __call__(self, text: str) -> np.ndarray:
+    def __call__(self, text: str) -> list[int]:
         words = text.lower().encode().split()
         try:
-            return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+            return list(map(self.seen.__getitem__, words))
         except KeyError:
             if len(self.seen) > self.cache:
                 self.seen.clear()
             for w in set(words) - self.seen.keys():
-                self.seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            return np.fromiter(map(self.seen.__getitem__, words), np.uint64, len(words))
+                self.seen[w] = xxhash.xxh64_intdigest(w)
+            return list(map(self.seen.__getitem__, words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,41 +61,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def labelled_shingles(words: np.ndarray, k: int = K) -> np.ndarray:
-    """Hash of each shingle of k words with its occurrence number; a shorter text is one shingle, an empty one none."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    width = min(k, n)
-    h = np.full(n - width + 1, width, np.uint64)
-    for j in range(width):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + len(h)])
-    order = np.argsort(h, kind="stable")
-    s = h[order]
+def labelled_shingles(docs: list[list[int]], k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the labelled shingles of documents (word hashes, none empty) one after the other, and where each document's begin.
+
+    A document of fewer than k words is one shingle.
+    """
+    n = np.array([max(k, len(d)) for d in docs], np.int64)
+    words = np.array([w for d in docs for w in (d if len(d) >= k else [*d, *[PAD] * (k - len(d))])], np.uint64)
+    rolled = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for j in range(k):
+        rolled *= np.uint64(0x9E3779B97F4A7C15)
+        rolled += words[j : j + len(rolled)]
+    m = n - k + 1
+    starts = np.cumsum(m) - m
+    owner = np.repeat(np.arange(len(docs)), m)
+    h = mixed(rolled[np.arange(len(owner)) + owner * (k - 1)])
+    # occurrence numbers: equal shingles of a document are neighbours in the order of a number that both give
+    both = h + owner.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    order = np.argsort(both, kind="stable")
+    s = both[order]
     same = np.concatenate([[False], s[1:] == s[:-1]])
     if same.any():
         at = np.arange(len(s))
         occurrence = np.empty(len(s), np.uint64)
         occurrence[order] = (at - np.maximum.accumulate(np.where(same, 0, at))).astype(np.uint64)
-        h = np.where(occurrence > 0, mixed(h + occurrence * np.uint64(0xD1342543DE82EF95)), h)
-    return h
-
-
-def seeds(bands: int) -> np.ndarray:
-    return mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-
-
-def band_keys(h: np.ndarray, bands: int = BANDS, pick: int = PICK) -> np.ndarray:
-    """A key for each seed: hash of its pick smallest labelled shingles in text order."""
-    out = np.zeros(bands, np.uint64)
-    for b, seed in enumerate(seeds(bands)):
-        x = (h ^ (h >> np.uint64(32))) * seed
+        again = np.flatnonzero(occurrence)
+        h[again] = mixed(h[again] + occurrence[again] * np.uint64(0xA0761D6478BD642F))
+    return h, starts
+
+
+def band_keys(h: np.ndarray, starts: np.ndarray, bands: int = BANDS, pick: int = PICK) -> np.ndarray:
+    """A key for each document and seed: hash of its pick smallest labelled shingles in text order."""
+    docs, m = len(starts), np.diff(np.append(starts, len(h)))
+    out = np.zeros((docs, bands), np.uint64)
+    if not docs:
+        return out.view(np.int64)
+    low = h ^ (h >> np.uint64(32))
+    seeds = mixed(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    values = np.append(h, np.uint64(0))
+    for b, seed in enumerate(seeds):
+        x = low * seed
         x ^= x >> np.uint64(29)
-        at = np.sort(np.argpartition(x, pick)[:pick]) if len(x) > pick else np.arange(len(x))
-        key = np.full(1, b + 1, np.uint64)
-        for v in h[at]:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + v)
-        out[b] = key[0]
+        chosen = np.full((docs, pick), len(h), np.int64)
+        for i in range(pick):
+            least = np.minimum.reduceat(x, starts)
+            at = np.flatnonzero(x == np.repeat(least, m))
+            who = np.searchsorted(starts, at, side="right") - 1
+            first = np.concatenate([[True], who[1:] != who[:-1]])  # of equal values the first
+            at, who = at[first], who[first]
+            ok = i < m[who]
+            chosen[who[ok], i] = at[ok]
+            x[at] = LAST
+        chosen.sort(axis=1)
+        key = np.full(docs, b + 1, np.uint64)
+        for i in range(pick):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[chosen[:, i]])
+        out[:, b] = key
     return out.view(np.int64)
 
 
@@ -125,19 +153,18 @@ def sketches(docs: DataFrame, text_col: str, row: str, k: int, bands: int, pick:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for b in batches:
-            rows: list[tuple] = []
-            held = 0
-            for r, t in zip(b["row"], b["t"], strict=True):
-                t = t or ""
-                h = labelled_shingles(words(t), k)
-                keys = band_keys(h, bands, pick).tolist() if len(h) else []
-                rows.append((r, hashlib.blake2b(t.encode(), digest_size=16).digest(), len(h), (h >> np.uint64(32)).astype("<u4").tobytes(), keys))
-                held += len(h)
-                if held > 1 << 19:
-                    yield pd.DataFrame(rows, columns=["row", "digest", "n", "shingles", "keys"])
-                    rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["row", "digest", "n", "shingles", "keys"])
+            texts = b["t"].fillna("")
+            for part in chunks(texts, CHUNK_CHARS):
+                own = texts.iloc[part].tolist()
+                split = [words(t) for t in own]
+                full = [i for i, w in enumerate(split) if w]
+                h, starts = labelled_shingles([split[i] for i in full], k)
+                keys = band_keys(h, starts, bands, pick)
+                short = (h >> np.uint64(32)).astype("<u4")
+                n, shingles, lists = [0] * len(own), [b""] * len(own), [[] for _ in own]
+                for j, (i, lo, hi) in enumerate(zip(full, starts, np.append(starts[1:], len(h)), strict=True)):
+                    n[i], shingles[i], lists[i] = hi - lo, short[lo:hi].tobytes(), keys[j]
+                yield pd.DataFrame({"row": b["row"].iloc[part].to_numpy(), "digest": [xxhash.xxh3_128_digest(t.encode()) for t in own], "n": n, "shingles": shingles, "keys": lists})
 
     return saved(docs.select(F.col(row).alias("row"), F.col(text_col).alias("t")).mapInPandas(run, "row long, digest binary, n int, shingles binary, keys array<long>"))
 
