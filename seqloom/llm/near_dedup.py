@@ -50,8 +50,9 @@ class Words:
         except KeyError:
             if len(self.seen) > self.cache:
                 self.seen.clear()
-            for w in set(words) - self.seen.keys():
-                self.seen[w] = xxhash.xxh64_intdigest(w)
+            for w in words:
+                if w not in self.seen:
+                    self.seen[w] = xxhash.xxh64_intdigest(w)
             return list(map(self.seen.__getitem__, words))
 
 

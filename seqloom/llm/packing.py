@@ -21,6 +21,8 @@ from .common import broadcast_if_small, saved
 
 #: Words whose ids a worker keeps; beyond it the older half is forgotten.
 CACHE_WORDS = 400_000
+#: Marks that never join a letter or digit before them in one token.
+ASCII_MARKS = b".,;:!?%$#&*|"
 #: Characters tokenized at once by a worker.
 CHUNK_CHARS = 1 << 20
 
@@ -45,15 +47,27 @@ class CachedTokenizer:
     def _learn(self, words: set[bytes]) -> None:
         if len(self.new) > self.cache_words // 2:
             self.new, self.old = {}, self.new
-        old, missing = self.old, []
-        for w in words - self.new.keys():
-            ids = old.get(w)
-            if ids is None:
-                missing.append(w)
+        new, old, missing, ended = self.new, self.old, [], []
+        for w in words:
+            if w in new:
+                continue
+            if (ids := old.get(w)) is not None:
+                new[w] = ids
+            elif (core := w.rstrip(ASCII_MARKS)) and core != w and core.decode()[-1].isalnum():
+                ended.append((w, core, w[len(core) :]))  # marks after a letter or digit are tokens of their own
             else:
-                self.new[w] = ids
+                missing.append(w)
+        parts = {p for _, core, marks in ended for p in (core, marks)} - set(missing)
+        for p in parts:
+            if p not in new:
+                if (ids := old.get(p)) is not None:
+                    new[p] = ids
+                else:
+                    missing.append(p)
         for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            self.new[w] = np.array(e.ids, self.dtype).tobytes()
+            new[w] = np.array(e.ids, self.dtype).tobytes()
+        for w, core, marks in ended:
+            new[w] = new[core] + new[marks]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and then end, as little-endian bytes of self.dtype."""
