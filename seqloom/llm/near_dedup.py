@@ -189,11 +189,16 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
     copies = saved(sk.select("row", "digest").join(exact, F.col("digest") == F.col("d")).where("row <> rep").select(F.col("row"), "rep"))
     own = sk.where("n > 0").select("row", "n", "keys").join(copies.select("row"), "row", "left_anti")
     rows = saved(own.select("row", "n", F.posexplode("keys").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key")).select("row", "n", "bucket"))
-    heads = saved(rows.groupBy("bucket").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("bucket").alias("k"), "head"))
-    members = saved(rows.join(heads, F.col("bucket") == F.col("k")).select("bucket", "row", "n", "head"))
-    texts = saved(sk.select("row", "shingles").join(members.select("row").distinct(), "row", "left_semi"))
-
-    stars = members.where("row <> head").select(F.col("head").alias("a"), F.col("row").alias("b")).distinct()
+    sizes = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("bucket").alias("k"), "members"))
+    shared = saved(rows.join(sizes, F.col("bucket") == F.col("k")).select("bucket", "row", "n", "members"))
+    # a bucket's head is its most central member: that whose other buckets are the largest
+    central = saved(shared.groupBy("row").agg(F.sum("members").alias("weight")).withColumnRenamed("row", "r"))
+    placed = saved(shared.join(central, F.col("row") == F.col("r")).select("bucket", "row", "n", "weight"))
+    heads = saved(placed.groupBy("bucket").agg(F.max(F.struct(F.col("weight"), (-F.col("row")).alias("row"))).alias("top")).select(F.col("bucket").alias("k"), (-F.col("top.row")).alias("head")))
+    members = saved(placed.join(heads, F.col("bucket") == F.col("k")).select("bucket", "row", "n", "head"))
+    texts = saved(sk.select("row", "shingles").hint("merge").join(members.select("row").distinct(), "row", "left_semi"))
+
+    stars = members.where("row <> head").select(F.least("head", "row").alias("a"), F.greatest("head", "row").alias("b")).distinct()
     first = saved(verified(stars, texts, least))
     comp = saved(components(first))
 
@@ -216,7 +221,7 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
     named = near.select(F.col("row").alias("_r"), F.col("rep").alias("_c"))
     follow = copies.join(named, F.col("rep") == F.col("_r"), "left").select("row", F.coalesce("_c", "rep").alias("rep"))
     out = saved(near.union(follow))
-    drop_saved(exact, copies, texts, rows, heads, members, first, known, apart)
+    drop_saved(exact, copies, texts, rows, sizes, shared, central, placed, heads, members, first, known, apart)
     return out
 
 
@@ -246,7 +251,7 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns."""
     row = free_name(docs, "dedup_row")
     gone = saved(near_duplicates(docs, **options).where("NOT kept").select(F.col("row").alias(row)))
-    return with_row_number(docs, row).join(gone, row, "left_anti").select(*docs.columns)
+    return with_row_number(docs, row).hint("merge").join(gone, row, "left_anti").select(*docs.columns)
 
 
 __all__ = ["aligned", "band_keys", "keep_one_of_each", "labelled_shingles", "near_duplicates"]

@@ -8,6 +8,7 @@ emits one boundary record for each piece. No row is shuffled but the totals.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -20,11 +21,20 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, saved
 
 #: Words whose ids a worker keeps; beyond it the older half is forgotten.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Marks that never join a letter or digit before them in one token.
 ASCII_MARKS = b".,;:!?%$#&*|"
 #: Characters tokenized at once by a worker.
 CHUNK_CHARS = 1 << 20
+_KEPT: dict[str, CachedTokenizer] = {}
+
+
+def worker_tokenizer(path: str) -> CachedTokenizer:
+    """This worker's tokenizer, kept with its words from task to task."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = CachedTokenizer(path)
+    return _KEPT[path]
 
 
 class CachedTokenizer:
@@ -35,11 +45,14 @@ class CachedTokenizer:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # an executor's cores have workers of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # text that looks like a special token is ordinary text
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        mark = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # stands between words of letters and digits that are encoded together
         self.cache_words = cache_words
         self.new: dict[bytes, np.ndarray] = {}
         self.old: dict[bytes, np.ndarray] = {}
@@ -48,9 +61,7 @@ class CachedTokenizer:
         if len(self.new) > self.cache_words // 2:
             self.new, self.old = {}, self.new
         new, old, missing, ended = self.new, self.old, [], []
-        for w in words:
-            if w in new:
-                continue
+        for w in [w for w in words if w not in new]:
             if (ids := old.get(w)) is not None:
                 new[w] = ids
             elif (core := w.rstrip(ASCII_MARKS)) and core != w and core.decode()[-1].isalnum():
@@ -64,8 +75,19 @@ class CachedTokenizer:
                     new[p] = ids
                 else:
                     missing.append(p)
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode() for w in missing], add_special_tokens=False), strict=True):
-            new[w] = np.array(e.ids, self.dtype).tobytes()
+        texts = [w.decode() for w in missing]
+        plain = [i for i, t in enumerate(texts) if t.isalnum()] if self.mark is not None else []
+        for s in range(0, len(plain), 500):
+            some = plain[s : s + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
+            if len(cuts) == len(some) - 1:
+                raw = ids.tobytes()
+                for i, a, b in zip(some, [0, *[c + ids.itemsize for c in cuts]], [*cuts, len(raw)], strict=True):
+                    new[missing[i]] = raw[a:b]
+        rest = [i for i, w in enumerate(missing) if w not in new]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            new[missing[i]] = np.array(e.ids, self.dtype).tobytes()
         for w, core, marks in ended:
             new[w] = new[core] + new[marks]
 
@@ -96,7 +118,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end: int, id_col: str = "doc
     """First pass, written once: part, local_start (tokens before the document in its partition), doc_id, n, ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, part, at = CachedTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
+        tok, part, at = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         for b in batches:
             texts = b["t"].fillna("")
             for s in chunks(texts):
