@@ -6,9 +6,10 @@ hash is a band key. Documents that share a key are candidates; these are aligned
 wide as the threshold allows: M labelled shingles in the same order in both, of n and m, give a similarity of
 M / (n + m - M), the Jaccard similarity that also respects order.
 
-Equal texts are one document from the start. In a bucket all members are compared with one of them first; only members
-that this leaves in another class meet the others of the bucket, so the work follows the number of members where they are
-alike, and no candidate link between different classes is lost.
+Equal texts are one document from the start. In a bucket all members are compared with its most central one first, so
+the work follows the number of members where they are alike. Buckets that this leaves with several classes are packed
+into blocks, and the blocks compared in pairs: a block pair gives links that connect what all its links connect, never a
+row for each pair, and no candidate link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .packing import chunks
 
 #: Words in a shingle, seeds, labelled shingles for each seed, least similarity.
 K, BANDS, PICK, LEAST = 5, 12, 3, 0.8
+#: Members of a bucket in a block.
+BLOCK = 256
 #: Characters sketched at once: arrays of this many words stay in a core's cache.
 CHUNK_CHARS = 1 << 18
 
@@ -183,12 +186,100 @@ def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
+def bucket_blocks(known: DataFrame, open_buckets: DataFrame, keys: DataFrame, texts: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The members of buckets that hold several classes, packed into blocks of about size members: bucket, blk, n, rows, cs, ms, keys, shingles."""
+    own = known.join(open_buckets, F.col("bucket") == F.col("ob")).withColumn("blk", F.pmod(F.xxhash64("row"), F.ceil(F.col("members") / size)).cast("int")).select("bucket", "blk", "row", "c")
+    own = own.join(texts, "row").join(keys.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("bucket", "blk", "row", "c", "shingles", "keys")
+
+    def pack(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("row")
+        lengths = np.array([len(x) // 4 for x in b["shingles"]], "<i8")
+        return pd.DataFrame({"bucket": [b["bucket"].iloc[0]], "blk": [b["blk"].iloc[0]], "rows": [b["row"].to_numpy("<i8").tobytes()], "cs": [b["c"].to_numpy("<i8").tobytes()], "ms": [lengths.tobytes()], "keys": [np.stack(b["keys"]).astype("<i8").tobytes()], "shingles": [b"".join(b["shingles"])]})
+
+    return saved(own.groupBy("bucket", "blk").applyInPandas(pack, "bucket long, blk int, rows binary, cs binary, ms binary, keys binary, shingles binary"))
+
+
+def block_links(x: tuple, y: tuple | None, bucket: int, least: float) -> list[tuple[int, int]]:
+    """Links inside a block, or between two, that connect what all links between different classes connect.
+
+    x, y: (rows, classes, lengths, keys, shingles). A pair is looked at in the first bucket that both are in. The numbers
+    of common shingles come from a product of matrices; pairs with enough of them are aligned unless already connected.
+    """
+    rows, cs, ms, keys, sh = x if y is None else tuple(np.concatenate([p, q]) for p, q in zip(x, y, strict=True))
+    n, left = len(rows), len(x[0])
+    bands = keys.shape[1]
+    first = np.full((n, n), bands, np.int8)
+    for b in range(bands - 1, -1, -1):
+        first[keys[:, b][:, None] == keys[:, b][None, :]] = b
+    mine = np.argmax(keys == bucket, axis=1)
+    want = (first == np.minimum(mine[:, None], mine[None, :])) & (cs[:, None] != cs[None, :])
+    want &= np.triu(np.ones((n, n), bool), 1)
+    if y is not None:
+        want[:left, :left] = want[left:, left:] = False
+    if not want.any():
+        return []
+    owner = np.repeat(np.arange(n), ms)
+    values, column, times = np.unique(sh, return_inverse=True, return_counts=True)
+    ok = times[column] > 1
+    owner, column = owner[ok], (np.cumsum(times > 1) - 1)[column[ok]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common, width = np.zeros((n, n), np.float32), max(1, (1 << 21) // n)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        m = np.zeros((n, width), np.float32)
+        m[owner[a:b], column[a:b] - lo] = 1
+        common += m @ m.T
+    want &= common >= least / (1 + least) * (ms[:, None] + ms[None, :]) - 1e-3
+    starts = np.cumsum(ms) - ms
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(want), strict=True):
+        p, q = find(int(cs[i])), find(int(cs[j]))
+        if p != q and aligned(sh[starts[i] : starts[i] + ms[i]], sh[starts[j] : starts[j] + ms[j]], least):
+            parent[p] = q
+            out.append((int(rows[i]), int(rows[j])))
+    return out
+
+
+def unpacked(r, s: str) -> tuple:
+    rows = np.frombuffer(getattr(r, f"rows{s}"), "<i8")
+    return rows, np.frombuffer(getattr(r, f"cs{s}"), "<i8"), np.frombuffer(getattr(r, f"ms{s}"), "<i8"), np.frombuffer(getattr(r, f"keys{s}"), "<i8").reshape(len(rows), -1), np.frombuffer(getattr(r, f"shingles{s}"), "<u4")
+
+
+def links_in_blocks(blocks: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect the classes inside buckets: each block in itself, and each pair of a bucket's blocks."""
+    names = ("rows", "cs", "ms", "keys", "shingles")
+
+    def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            found = [x for r in p.itertuples(index=False) for x in block_links(unpacked(r, ""), None, r.bucket, least)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            found = [x for r in p.itertuples(index=False) for x in block_links(unpacked(r, "_x"), unpacked(r, "_y"), r.bucket, least)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    thin = blocks.select("bucket", "blk")
+    pairs = thin.withColumnRenamed("blk", "x").join(thin.withColumnRenamed("blk", "y"), "bucket").where("x < y")
+    side = lambda s: blocks.select("bucket", F.col("blk").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
+    both = pairs.join(side("x"), ["bucket", "x"]).join(side("y"), ["bucket", "y"])
+    return blocks.mapInPandas(within, "a long, b long").union(both.select("bucket", *[f"{c}_{s}" for s in "xy" for c in names]).mapInPandas(between, "a long, b long"))
+
+
 def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
     """row, rep (the smallest row of its class) for rows that have others in their class; sk: sketches()."""
     exact = saved(sk.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("digest").alias("d"), "rep"))
     copies = saved(sk.select("row", "digest").join(exact, F.col("digest") == F.col("d")).where("row <> rep").select(F.col("row"), "rep"))
     own = sk.where("n > 0").select("row", "n", "keys").join(copies.select("row"), "row", "left_anti")
-    rows = saved(own.select("row", "n", F.posexplode("keys").alias("band", "key")).withColumn("bucket", F.xxhash64("band", "key")).select("row", "n", "bucket"))
+    rows = saved(own.select("row", "n", F.explode("keys").alias("bucket")))
     sizes = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("bucket").alias("k"), "members"))
     shared = saved(rows.join(sizes, F.col("bucket") == F.col("k")).select("bucket", "row", "n", "members"))
     # a bucket's head is its most central member: that whose other buckets are the largest
@@ -207,13 +298,12 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
         return df.join(named, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce("_c", node)).drop("_n", "_c")
 
     known = saved(labelled(labelled(members, "row", "c"), "head", "hc"))
-    apart = saved(known.where("c <> hc").select("bucket", "row", "n", "c"))
+    open_buckets = saved(known.where("c <> hc").groupBy("bucket").agg(F.count(F.lit(1)).alias("apart")).join(sizes, F.col("bucket") == F.col("k")).select(F.col("bucket").alias("ob"), "members"))
     second = None
-    if apart.limit(1).count():
-        others = known.select(F.col("bucket").alias("k"), F.col("row").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"), (F.col("c") != F.col("hc")).alias("apart2"), F.col("head").alias("h2"))
-        near = (F.col("bucket") == F.col("k")) & (F.col("c") != F.col("c2")) & (F.col("r2") != F.col("h2")) & (~F.col("apart2") | (F.col("row") < F.col("r2"))) & (F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - 1e-9)
-        rest = saved(apart.join(others, near).select(F.least("row", "r2").alias("a"), F.greatest("row", "r2").alias("b")).distinct())
-        second = saved(verified(rest, texts, least))
+    if open_buckets.limit(1).count():
+        blocks = bucket_blocks(known, open_buckets, sk.select("row", "keys"), texts)
+        second = saved(links_in_blocks(blocks, least))
+        drop_saved(blocks)
     links = first if second is None else first.union(second)
     final = comp if second is None or not second.limit(1).count() else saved(components(links))
     near = final.where("node <> component").select(F.col("node").alias("row"), F.col("component").alias("rep"))
@@ -221,7 +311,7 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
     named = near.select(F.col("row").alias("_r"), F.col("rep").alias("_c"))
     follow = copies.join(named, F.col("rep") == F.col("_r"), "left").select("row", F.coalesce("_c", "rep").alias("rep"))
     out = saved(near.union(follow))
-    drop_saved(exact, copies, texts, rows, sizes, shared, central, placed, heads, members, first, known, apart)
+    drop_saved(exact, copies, texts, rows, sizes, shared, central, placed, heads, members, first, known, open_buckets)
     return out
 
 
