@@ -58,17 +58,15 @@ class CachedTokenizer:
         self.old: dict[bytes, np.ndarray] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.new) > self.cache_words // 2:
-            self.new, self.old = {}, self.new
         new, old, missing, ended = self.new, self.old, [], []
-        for w in [w for w in words if w not in new]:
+        for w in words:
             if (ids := old.get(w)) is not None:
                 new[w] = ids
             elif (core := w.rstrip(ASCII_MARKS)) and core != w and core.decode()[-1].isalnum():
                 ended.append((w, core, w[len(core) :]))  # marks after a letter or digit are tokens of their own
             else:
                 missing.append(w)
-        parts = {p for _, core, marks in ended for p in (core, marks)} - set(missing)
+        parts = {p for _, core, marks in ended for p in (core, marks)}.difference(missing)
         for p in parts:
             if p not in new:
                 if (ids := old.get(p)) is not None:
@@ -93,13 +91,21 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and then end, as little-endian bytes of self.dtype."""
-        tail, out = np.array([end], self.dtype).tobytes(), []
-        split = [t.encode().split() for t in texts]
-        self._learn({w for words in split for w in words})
-        get = self.new.__getitem__
-        for words in split:
-            out.append(b"".join(map(get, words)) + tail)
-        return out
+        tail, out, missing = np.array([end], self.dtype).tobytes(), [], set()
+        if len(self.new) > self.cache_words // 2:
+            self.new, self.old = {}, self.new
+        get = self.new.get
+        for t in texts:
+            words = t.encode().split()
+            ids = list(map(get, words))
+            if None in ids:
+                missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
+                out.append(words)
+            else:
+                out.append(b"".join(ids) + tail)
+        self._learn(missing)
+        known = self.new.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(known, x)) + tail for x in out]
 
 
 def chunks(texts: pd.Series, limit: int = CHUNK_CHARS) -> Iterator[slice]:
