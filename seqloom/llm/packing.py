@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, saved
 
 #: Words whose ids a worker keeps; beyond it the older half is forgotten.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 #: Marks that never join a letter or digit before them in one token.
 ASCII_MARKS = b".,;:!?%$#&*|"
 #: Characters tokenized at once by a worker.
@@ -100,12 +100,12 @@ class CachedTokenizer:
             ids = list(map(get, words))
             if None in ids:
                 missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
-                out.append(words)
+                out.append((words, ids))
             else:
                 out.append(b"".join(ids) + tail)
         self._learn(missing)
         known = self.new.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(known, x)) + tail for x in out]
+        return [x if isinstance(x, bytes) else b"".join([known(w) if i is None else i for w, i in zip(*x, strict=True)]) + tail for x in out]
 
 
 def chunks(texts: pd.Series, limit: int = CHUNK_CHARS) -> Iterator[slice]:
