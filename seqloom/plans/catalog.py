@@ -354,7 +354,8 @@ def case_apply(spark, d):
     s = t(spark, d, "documents").select("doc_id", T.letters(F.col("text")).alias("s"))
     # runs of one case, their lengths, and the text put together again from its upper-case form
     runs = F.transform(F.regexp_extract_all("s", F.lit("([a-z]+|[A-Z]+)"), 1), lambda x: F.struct(F.length(x).alias("n"), x.rlike("^[a-z]").alias("low")))
-    r = s.select("doc_id", F.upper("s").alias("u"), runs.alias("runs"))
+    # a generator of one row keeps the cleaned text from being worked out again for each run
+    r = s.select("doc_id", F.explode(F.array(F.struct(F.upper("s").alias("u"), runs.alias("runs")))).alias("x")).select("doc_id", F.col("x.u").alias("u"), F.col("x.runs").alias("runs"))
     fold = F.aggregate("runs", F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.array_append(a["out"], F.when(x["low"], F.lower(F.substring("u", a["at"], x["n"]))).otherwise(F.substring("u", a["at"], x["n"]))).alias("out")))
     return r.select("doc_id", F.array_join(fold["out"], "").alias("restored"))
 
@@ -362,7 +363,8 @@ def case_apply(spark, d):
 @query(f"SELECT k, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(s) - 4, 1)), lambda i: substring(s, i, 6))) AS k FROM (SELECT {CLEAN} AS s FROM documents) WHERE length(s) >= 6) GROUP BY 1")
 def kmer_count(spark, d):
     s = t(spark, d, "documents").select(T.clean(F.col("text")).alias("s")).where(F.length("s") >= 6)
-    return s.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 5), lambda i: F.substring("s", i, 6))).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    # one pass over each text: a substring for each position would clean the text again for each
+    return s.select(F.explode(F.regexp_extract_all("s", F.lit("(?=(.{6}))"), 1)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, CASE WHEN source = lang THEN '0' ELSE source END AS header FROM documents")
