@@ -405,6 +405,16 @@ def lcp_array(spark, d):
     return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq").select("doc_id", "rank", "lcp")
 
 
+@query(f"SELECT doc_id, {CLEAN} AS restored FROM documents")
+def bwt_round_trip(spark, d):
+    def run(batches):
+        for b in batches:
+            b["restored"] = [suffix.unbwt(*suffix.bwt(s.encode())).decode() for s in b.pop("seq")]
+            yield b
+
+    return t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")).mapInPandas(run, "doc_id long, restored string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suffix order and common prefixes of every document."""
     return lcp_array(spark, sf_dir)
