@@ -43,35 +43,48 @@ def suffix_array(s: bytes | np.ndarray) -> np.ndarray:
     return sa
 
 
+class Extensions:
+    """Common prefixes of any two suffixes, by lifting over ranks of doubled lengths; as many levels as the longest repeat has binary digits."""
+
+    def __init__(self, a: np.ndarray):
+        self.n = n = len(a)
+        self.levels, h, rank = [], 1, np.unique(a, return_inverse=True)[1].astype(np.int64) + 1
+        while n:
+            self.levels.append((h, np.append(rank, 0).astype(np.int32)))
+            if h >= n or rank.max() == n:
+                break
+            after = np.zeros(n, np.int64)
+            after[: n - h] = rank[h:]
+            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+            h *= 2
+
+    def order(self) -> np.ndarray:
+        """The suffixes' order: the last level's ranks are all different."""
+        return np.argsort(self.levels[-1][1][: self.n], kind="stable")
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Common prefix lengths of the suffixes at i and at j, elementwise; i and j must differ."""
+        n, got = self.n, np.zeros(len(i), np.int64)
+        for h, rank in reversed(self.levels):
+            p, q = np.minimum(i + got, n), np.minimum(j + got, n)
+            # equal ranks of h letters mean h equal letters only where h letters are left
+            got += np.where((rank[p] == rank[q]) & (np.maximum(p, q) + h <= n), h, 0)
+        return got
+
+
 def lcp_array(s: bytes, sa: np.ndarray) -> np.ndarray:
-    """Common prefix with the suffix before in order (0 for the first), by lifting over ranks of doubled lengths."""
-    n = len(s)
-    out = np.zeros(n, np.int64)
-    if n < 2:
-        return out
-    a = np.frombuffer(s, np.uint8).astype(np.int64)
-    levels, h, rank = [], 1, np.unique(a, return_inverse=True)[1].astype(np.int64) + 1
-    while True:
-        levels.append((h, np.append(rank, 0)))
-        if h >= n or len(np.unique(rank)) == n:
-            break
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:]
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        h *= 2
-    i, j = sa[1:].copy(), sa[:-1].copy()
-    got = np.zeros(n - 1, np.int64)
-    for h, rank in reversed(levels):
-        p, q = np.minimum(i + got, n), np.minimum(j + got, n)
-        # equal ranks of h letters mean h equal letters only where h letters are left
-        same = (rank[p] == rank[q]) & (np.maximum(p, q) + h <= n)
-        got = np.where(same, got + h, got)
-    out[1:] = got
+    """Common prefix with the suffix before in order, 0 for the first."""
+    out = np.zeros(len(s), np.int64)
+    out[1:] = Extensions(np.frombuffer(s, np.uint8)).common(sa[1:], sa[:-1])
     return out
 
 
-def longest_matches(target: bytes, reference: bytes, never: bytes = b"N1") -> tuple[np.ndarray, np.ndarray]:
-    """Length and reference position of each target position's longest match; the neighbour before in suffix order wins ties; letters of never match nothing."""
+def longest_matches(target: bytes, reference: bytes, never: bytes = b"N1", mismatches: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Length and reference position of each target position's longest match.
+
+    The neighbour before in suffix order wins ties; letters of never match nothing. With mismatches, each match found is
+    extended beyond so many differing letters, which count in its length, as long as both texts last.
+    """
     n, m = len(target), len(reference)
     length, where = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not n or not m:
@@ -80,66 +93,27 @@ def longest_matches(target: bytes, reference: bytes, never: bytes = b"N1") -> tu
     # letters that never match get values of their own
     odd = np.flatnonzero(np.isin(joined, np.frombuffer(never + b"\x00", np.uint8)))
     joined[odd] = 256 + np.arange(len(odd))
-    joined = np.unique(joined, return_inverse=True)[1]
-    sa = suffix_array_wide(joined)
-    lcp = lcp_wide(joined, sa)
-    is_ref = sa > n
-    big = np.iinfo(np.int64).max
-    for forward in (False, True):  # the neighbour before, then the one after if it is longer
-        order = range(len(sa) - 1, -1, -1) if forward else range(len(sa))
-        least, at = 0, -1
-        for r in order:
-            if not forward and at >= 0:
-                least = min(least, lcp[r])
-            p = sa[r]
-            if is_ref[r]:
-                least, at = big, p - n - 1
-            elif p < n and at >= 0:
-                if least > length[p]:
-                    length[p], where[p] = least, at
-            if forward and at >= 0:
-                least = min(least, lcp[r])
+    ext = Extensions(joined)
+    sa = ext.order()
+    at = np.arange(len(sa))
+    of_ref = sa > n
+    before = np.maximum.accumulate(np.where(of_ref, at, -1))
+    after = np.minimum.accumulate(np.where(of_ref, at, len(sa))[::-1])[::-1]
+    for near, there in ((before, before >= 0), (after, after < len(sa))):
+        rows = np.flatnonzero((sa < n) & there)
+        p, q = sa[rows], sa[near[rows]]
+        got = ext.common(p, q)
+        better = got > length[p]
+        length[p[better]], where[p[better]] = got[better], q[better] - n - 1
+    for _ in range(mismatches):
+        p, q = np.arange(n) + length, where + length
+        ok = np.flatnonzero((p < n) & (q < m))
+        length[ok] += 1
+        p, q = p[ok] + 1, q[ok] + n + 2
+        length[ok] += ext.common(p, q)
     return length, where
 
 
-def suffix_array_wide(a: np.ndarray) -> np.ndarray:
-    """suffix_array for arrays of any whole numbers from 0."""
-    n = len(a)
-    rank, h = np.unique(a, return_inverse=True)[1].astype(np.int64), 1
-    sa = np.argsort(rank, kind="stable")
-    while len(sa) > 1:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
-        both = rank * (n + 1) + after
-        sa = np.argsort(both, kind="stable")
-        k = both[sa]
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        h *= 2
-        if rank[sa[-1]] == n - 1 or h >= n:
-            break
-    return sa
-
-
-def lcp_wide(a: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Common prefixes of neighbours for arrays of whole numbers, by permuted order: a position's is at least its predecessor's less one."""
-    n = len(a)
-    before = np.full(n, -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    out, h, x = np.zeros(n, np.int64), 0, a.tolist()
-    prev = before.tolist()
-    for i in range(n):
-        j = prev[i]
-        if j < 0:
-            h = 0
-            continue
-        while i + h < n and j + h < n and x[i + h] == x[j + h]:
-            h += 1
-        out[i] = h
-        h = max(0, h - 1)
-    return out[sa]
-
-
 def bwt(s: bytes) -> tuple[bytes, int]:
     """Last column of the suffixes' order with an end mark left out, and the row the mark was in."""
     sa = suffix_array(s)
