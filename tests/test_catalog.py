@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from seqloom.operators import suffix
-from seqloom.plans import catalog
+from seqloom.plans import catalog, coding  # noqa: F401  coding adds its queries to the catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
