@@ -2,9 +2,9 @@
 
 Words of all training documents are counted. The most frequent form the model's tokens; the others stand for one of KINDS
 unknown tokens by their shape, and inside a kind a word's probability is its add-one share of the kind's count, so the
-model gives every text a proper probability. Training takes segments of all training documents, spread by hash, as runs
-of windows with truncated backpropagation; replicas of bounded work train in parallel from common weights and are averaged
-after each round, so there are more of them the more text there is. Scoring carries the state to a document's end. Counts
+model gives every text a proper probability. Training takes all segments of all training documents, dealt by hash, as
+runs of windows with truncated backpropagation; replicas of bounded work train in parallel from common weights and are
+averaged after each round, so there are more of them the more text there is. Scoring carries the state to a document's end. Counts
 of words beyond the broadcast head are joined, not broadcast.
 """
 
@@ -26,8 +26,8 @@ from .packing import chunks
 
 #: Words whose counts are broadcast at most; tokens of the model at most.
 HEAD, VOCABULARY = 1 << 18, 4096
-#: Tokens in a training segment; one segment of so many is trained on; tokens that a replica sees in all rounds; rounds.
-SEGMENT, STRIDE, REPLICA, ROUNDS = 128, 8, 1 << 21, 3
+#: Tokens in a training segment; tokens that a replica sees in all rounds; rounds.
+SEGMENT, REPLICA, ROUNDS = 128, 1 << 21, 3
 #: Tokens that training visits at least, if need be by repeated passes, MOST_PASSES at most.
 VISITS, MOST_PASSES = 1 << 21, 8
 #: Words counted in a worker before counts are handed on.
@@ -134,15 +134,13 @@ def segments(texts: DataFrame, shared) -> DataFrame:
                     n = x.count(" ") + x.count("\n") + 1  # no fewer than segments need; what has no words is skipped below
                     for i in range(n // SEGMENT + 1):
                         h = zlib.crc32(f"{d}\x1f{i}".encode())
-                        if h % STRIDE:
-                            continue
                         words = words_of(x) if words is None else words
                         own = words[i * SEGMENT : (i + 1) * SEGMENT]
                         tokens = [lex.token[j] if (j := get(w, -1)) >= 0 else lex.kind_token[kind_of(w)] for w in own]
                         if (i + 1) * SEGMENT > len(words) >= i * SEGMENT:
                             tokens.append(lex.end_token)
                         if tokens:
-                            rows.append((np.array(tokens, "<u2").tobytes(), len(tokens), h // STRIDE))
+                            rows.append((np.array(tokens, "<u2").tobytes(), len(tokens), h))
                 yield pd.DataFrame(rows, columns=["tokens", "n", "h"])
 
     return saved(texts.mapInPandas(run, "tokens binary, n int, h long"))
@@ -178,17 +176,18 @@ def replica_round(shared, rate: float, seed: int, r: int, passes: int):
 
 
 def train(parts: DataFrame, lex: Lexicon, seed: int = 0, rate: float = 6e-3) -> Gru:
-    """Trains on segments(): the first round by one replica, each later round by all on their share of it."""
+    """Trains on each of segments() in one round: the first is one replica's alone, the other replicas' segments are all in the later ones."""
     model = Gru(lex.freq, seed=seed)
     tokens = parts.agg(F.sum("n")).first()[0] or 0
     replicas = max(4, -(-tokens // REPLICA))
-    dealt = parts.withColumn("replica", F.pmod(F.col("h"), F.lit(replicas))).withColumn("round", F.pmod(F.floor(F.col("h") / replicas), F.lit(ROUNDS)))
+    turn = F.floor(F.col("h") / replicas)
+    dealt = parts.withColumn("replica", F.pmod(F.col("h"), F.lit(replicas))).withColumn("round", F.when(F.col("replica") == 0, F.pmod(turn, F.lit(ROUNDS))).otherwise(1 + F.pmod(turn, F.lit(ROUNDS - 1))))
     passes = max(1, min(MOST_PASSES, VISITS // max(1, tokens)))
     context = parts.sparkSession.sparkContext
     for r in range(ROUNDS):
         shared = context.broadcast((lex.freq, model.get()))
 
-        own = dealt.where((F.col("round") == r) & (F.lit(r > 0) | (F.col("replica") == 0)))
+        own = dealt.where(F.col("round") == r)
         done = saved(own.groupBy("replica").applyInPandas(replica_round(shared, rate / (1 + r), seed, r, passes), "w binary, n long"))
         if done.limit(1).count():
             model.put(averaged(done, replicas))

@@ -516,6 +516,18 @@ def test_lm_score_base_and_totals(spark, tmp_path, docs, head, monkeypatch):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_lm_training_visits_every_token_once(spark, tmp_path, docs, monkeypatch):
+    visited, averaged = [], lm_score.averaged
+
+    def spy(parts, replicas):
+        visited.append(parts.agg(F.sum("n")).first()[0])
+        return averaged(parts, replicas)
+
+    monkeypatch.setattr(lm_score, "averaged", spy)
+    all_tokens = lm_score.score(docs).first().train_tokens
+    assert sum(visited) == all_tokens > 0 and len(visited) == lm_score.ROUNDS
+
+
 def test_lm_score_of_nothing(spark, tmp_path):
     e = empty(spark, tmp_path)
     assert lm_score.score(e).count() == 0
