@@ -130,11 +130,9 @@ def segments(texts: DataFrame, shared) -> DataFrame:
             for s in chunks(t):
                 rows = []
                 for d, x in zip(b["d"].iloc[s], t.iloc[s], strict=True):
-                    words = None
-                    n = x.count(" ") + x.count("\n") + 1  # no fewer than segments need; what has no words is skipped below
-                    for i in range(n // SEGMENT + 1):
+                    words = words_of(x)
+                    for i in range(len(words) // SEGMENT + 1):
                         h = zlib.crc32(f"{d}\x1f{i}".encode())
-                        words = words_of(x) if words is None else words
                         own = words[i * SEGMENT : (i + 1) * SEGMENT]
                         tokens = [lex.token[j] if (j := get(w, -1)) >= 0 else lex.kind_token[kind_of(w)] for w in own]
                         if (i + 1) * SEGMENT > len(words) >= i * SEGMENT:

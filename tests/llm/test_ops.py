@@ -528,6 +528,15 @@ def test_lm_training_visits_every_token_once(spark, tmp_path, docs, monkeypatch)
     assert sum(visited) == all_tokens > 0 and len(visited) == lm_score.ROUNDS
 
 
+@pytest.mark.parametrize("between", list(" \t\n\v\f\r"))
+def test_lm_segments_are_whole_for_every_separator(spark, tmp_path, between):
+    words = prose(3, 300).split()
+    texts = save(spark, tmp_path, [("1", between.join(words)), ("2", between.join(words[:256])), ("3", None)], "d string, t string")
+    lex = lm_score.Lexicon(lm_score.count_words(texts))
+    got = lm_score.segments(texts, spark.sparkContext.broadcast(lex)).collect()
+    assert sorted(r.n for r in got) == [1, 1, 45, 128, 128, 128, 128]
+
+
 def test_lm_score_of_nothing(spark, tmp_path):
     e = empty(spark, tmp_path)
     assert lm_score.score(e).count() == 0
