@@ -28,8 +28,6 @@ from .packing import chunks
 HEAD, VOCABULARY = 1 << 18, 4096
 #: Tokens in a training segment; tokens that a replica sees in all rounds; rounds.
 SEGMENT, REPLICA, ROUNDS = 128, 1 << 21, 3
-#: Tokens that training visits at least, if need be by repeated passes, MOST_PASSES at most.
-VISITS, MOST_PASSES = 1 << 21, 8
 #: Words counted in a worker before counts are handed on.
 COUNTED = 200_000
 #: The end of a text as a word: a space, which no word holds.
@@ -160,13 +158,13 @@ def averaged(parts: DataFrame, replicas: int) -> np.ndarray:
     return sum(np.frombuffer(r.w, np.float64) for r in rows) / sum(r.n for r in rows)
 
 
-def replica_round(shared, rate: float, seed: int, r: int, passes: int):
+def replica_round(shared, rate: float, seed: int, r: int):
     """A function that trains one replica on its segments of a round: its weights times its tokens, and those tokens."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         freq, flat = shared.value
         own, b = Gru(freq, seed=seed).put(flat), b.sort_values(["h", "tokens"])
-        own.train([np.frombuffer(x, "<u2").astype(np.int64) for x in b["tokens"]] * passes, rate, seed=seed + r)
+        own.train([np.frombuffer(x, "<u2").astype(np.int64) for x in b["tokens"]], rate, seed=seed + r)
         n = int(b["n"].sum())
         return pd.DataFrame({"w": [(own.get().astype(np.float64) * n).tobytes()], "n": [n]})
 
@@ -180,13 +178,12 @@ def train(parts: DataFrame, lex: Lexicon, seed: int = 0, rate: float = 6e-3) ->
     replicas = max(4, -(-tokens // REPLICA))
     turn = F.floor(F.col("h") / replicas)
     dealt = parts.withColumn("replica", F.pmod(F.col("h"), F.lit(replicas))).withColumn("round", F.when(F.col("replica") == 0, F.pmod(turn, F.lit(ROUNDS))).otherwise(1 + F.pmod(turn, F.lit(ROUNDS - 1))))
-    passes = max(1, min(MOST_PASSES, VISITS // max(1, tokens)))
     context = parts.sparkSession.sparkContext
     for r in range(ROUNDS):
         shared = context.broadcast((lex.freq, model.get()))
 
         own = dealt.where(F.col("round") == r)
-        done = saved(own.groupBy("replica").applyInPandas(replica_round(shared, rate / (1 + r), seed, r, passes), "w binary, n long"))
+        done = saved(own.groupBy("replica").applyInPandas(replica_round(shared, rate / (1 + r), seed, r), "w binary, n long"))
         if done.limit(1).count():
             model.put(averaged(done, replicas))
         drop_saved(done)

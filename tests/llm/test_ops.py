@@ -6,9 +6,11 @@ import html
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -528,6 +530,19 @@ def test_lm_training_visits_every_token_once(spark, tmp_path, docs, monkeypatch)
     assert sum(visited) == all_tokens > 0 and len(visited) == lm_score.ROUNDS
 
 
+def test_lm_training_is_one_pass_on_small_tables(spark, tmp_path, docs, monkeypatch):
+    rounds, visits, replica_round = [], [], lm_score.replica_round
+    monkeypatch.setattr(lm_score, "replica_round", lambda shared, *a: rounds.append(a) or replica_round(shared, *a))
+    lm_score.score(docs).count()
+    monkeypatch.setattr(gru.Gru, "train", lambda self, segments, *a, **b: visits.append(len(segments)))
+    freq = np.array([2.0, 1.0])
+    shared = types.SimpleNamespace(value=(freq, gru.Gru(freq).get()))
+    own = pd.DataFrame({"tokens": [np.zeros(3, "<u2").tobytes()] * 2, "n": [3, 3], "h": [1, 2]})
+    for a in rounds:
+        replica_round(shared, *a)(own)
+    assert visits == [2] * lm_score.ROUNDS
+
+
 @pytest.mark.parametrize("between", list(" \t\n\v\f\r"))
 def test_lm_segments_are_whole_for_every_separator(spark, tmp_path, between):
     words = prose(3, 300).split()
