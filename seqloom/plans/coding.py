@@ -112,15 +112,25 @@ def plcp_array(spark, d):
     return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq").select("doc_id", "pos", F.col("lcp").alias("plcp"))
 
 
-@query()
-def suffix_order_of_one_text(spark, d):
-    """All benchmark items' letters, one text, ordered by the distributed form."""
+def suffix_order(spark, d, table: str, key: str) -> DataFrame:
+    """All the table's letters, one text, ordered by the distributed form."""
     shared.new_folder(spark)
-    items = scans.running(t(spark, d, "benchmark").select("item_id", T.clean(F.col("text")).alias("s"), F.length(T.clean(F.col("text"))).cast("long").alias("n")), ["item_id"], "n", "sum", "begin", exclusive=True)
+    letters = F.coalesce(T.clean(F.col("text")), F.lit(""))
+    items = scans.running(t(spark, d, table).select(key, letters.alias("s"), F.length(letters).cast("long").alias("n")), [key], "n", "sum", "begin", exclusive=True)
     chars = items.select("begin", F.posexplode(F.split("s", "")).alias("i", "ch")).where("ch <> ''")
     return suffix.suffix_ranks(chars.select((F.col("begin") + F.col("i")).alias("pos"), F.ascii("ch").cast("long").alias("code")))
 
 
+@query()
+def suffix_order_of_one_text(spark, d):
+    return suffix_order(spark, d, "benchmark", "item_id")
+
+
+@query()
+def suffix_order_of_documents(spark, d):
+    return suffix_order(spark, d, "documents", "doc_id")
+
+
 # block codec
 
 

@@ -76,3 +76,17 @@ def test_adler(spark, sf):
     got = {r.doc_id: r.adler for r in catalog.adler32(spark, sf).collect()}
     for r in catalog.seq_clean(spark, sf).collect():
         assert got[r.doc_id] == zlib.adler32(r.seq.encode())
+
+
+def test_suffix_order_of_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from seqloom.functions import text as T
+    from seqloom.plans import coding
+
+    rows = [(3, "gattaca ACGT acgt"), (1, "banana acgtacgt"), (2, None), (4, ""), (5, "acgtNN acgt")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cleaned = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", T.clean(F.col("text")).alias("s")).orderBy("doc_id").collect()
+    x = "".join(r.s or "" for r in cleaned)
+    got = {r.pos: r["rank"] for r in coding.suffix_order_of_documents(spark, str(tmp_path)).collect()}
+    assert got == {p: k for k, p in enumerate(sorted(range(len(x)), key=lambda i: x[i:]))} and x
