@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,18 @@ from pyspark.sql import functions as F
 
 #: White space that separates words: \x20 and \x09 to \x0D. bytes.split() without arguments splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows up to which a side table may be broadcast; its rows are counted first.
+#: Rows up to which a side table may be broadcast; they are counted first.
 BROADCAST_ROWS = 200_000
+#: Bytes of its texts and binaries up to which it may be.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one that is set as such."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session of one machine gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: driver and executors share no folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="seqloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -44,9 +49,11 @@ def drop_saved(*tables: DataFrame | None) -> None:
             df._seqloom_path = None
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it has at most so many rows, counted first; else a shuffle join is left to Spark. df should be saved()."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks df for broadcast if it has at most so many rows and bytes of text and binary, counted first; else a shuffle join is left to Spark. df should be saved()."""
+    heavy = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, *found = df.limit(rows + 1).agg(F.count(F.lit(1)), *heavy).first()
+    return F.broadcast(df) if n <= rows and sum(found) <= size else df
 
 
 def free_name(df: DataFrame, name: str) -> str:
