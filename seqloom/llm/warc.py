@@ -9,9 +9,12 @@ column, written where all executors see them; export() turns rows into files.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark import TaskContext
@@ -29,11 +32,16 @@ SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "1970-01-01T00:00:00Z"
 
 
-def record(record_id: str, kind: str, url: str, payload: bytes, size: int, digest: str, page_id: str, refers_to: str) -> bytes:
-    """One WARC/1.1 record. A revisit has no payload; its full length and digest stay in the header."""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:seqloom:{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join(url.split())}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-Page-ID: {page_id}"]
+def record(record_id: str, kind: str, url: str, payload: bytes, size: int, digest: str, page_id: str | None, refers_to: str | None) -> bytes:
+    """One WARC/1.1 record. A revisit has no payload; its full length and digest stay in the header.
+
+    WARC-Target-URI is the URL with its white space and control characters percent-encoded; the URL itself and the ids
+    are headers of their own as JSON, which has no line breaks.
+    """
+    target = "".join(quote(c) if c <= " " or c.isspace() or not c.isprintable() else c for c in url)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:seqloom:{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-URL: {json.dumps(url)}", f"X-Page-ID: {json.dumps(page_id)}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {json.dumps(refers_to)}"]
         payload = b""
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
@@ -117,28 +125,31 @@ def read_at(bundle: bytes, frame: int, offset: int) -> tuple[dict[str, str], byt
     return parse_record(read_frame(bundle, seek_table(bundle), frame), offset)[:2]
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """Adds payload digest and size, and the id that a row revisits (null: it is a response).
+def revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
+    """row, page_id, url, html, payload_bytes, payload_digest, revisit, refers_to (the id that the row revisits; null: it is a response).
 
     Of rows with equal payloads of at least least bytes, that with the largest id is the response (null ids are
-    smallest; of equal largest ids one row), all others revisit it.
+    smallest; of equal largest ids one row), all others revisit it. Other columns of pages are ignored, whatever their names.
     """
     row = free_name(pages, "warc_row")
-    data = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    d = with_row_number(pages, row).withColumn("_bytes", F.octet_length(data)).withColumn("_sha1", F.sha1(data))
-    groups = d.where(F.col("_bytes") >= least).groupBy("_sha1").agg(F.count(F.lit(1)).alias("_n"), F.max(F.struct(F.col(id_col), F.col(row))).alias("_top")).where("_n > 1")
-    tops = saved(groups.select(F.col("_sha1").alias("_digest"), F.col(f"_top.{id_col}").alias("_top_id"), F.col(f"_top.{row}").alias("_top_row")))
-    out = d.join(tops, (F.col("_sha1") == F.col("_digest")) & (F.col("_bytes") >= least), "left")
-    revisit = F.col("_top_row").isNotNull() & (F.col("_top_row") != F.col(row))
-    return out.withColumn("_revisit", revisit).withColumn("_refers", F.when(revisit, F.col("_top_id"))).withColumnRenamed(row, "_row").drop("_digest", "_top_id", "_top_row")
+    data = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
+    d = with_row_number(pages, row).select(F.col(row).alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    d = d.withColumn("payload_bytes", F.octet_length(data)).withColumn("payload_digest", F.sha1(data))
+    groups = d.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "row")).alias("top")).where("n > 1")
+    tops = saved(groups.select(F.col("payload_digest").alias("digest"), F.col("top.page_id").alias("top_id"), F.col("top.row").alias("top_row")))
+    out = d.join(tops, (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= least), "left")
+    revisit = F.col("top_row").isNotNull() & (F.col("top_row") != F.col("row"))
+    return out.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("top_id"))).drop("digest", "top_id", "top_row")
 
 
 def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes a record for each row of pages and returns the bundles: bundle_id, bundle binary, index array<struct<record_id, frame, offset>>.
 
-    A null payload is empty, a null URL too. Ids may be null or repeat; a record's id is its row's number.
+    A null payload is empty, a null URL too. Ids may be null, of any text, or repeat; a record's id is its row's number.
+    Other columns of pages are ignored. An empty table gives no bundles.
     """
-    d = revisits(pages, id_col, html_col).select("_row", F.col(id_col).cast("string").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.when(F.col("_revisit"), F.lit("")).otherwise(F.coalesce(F.col(html_col), F.lit(""))).alias("_html"), "_bytes", "_sha1", "_revisit", F.col("_refers").cast("string").alias("_refers"))
+    d = revisits(pages, id_col, url_col, html_col)
+    d = d.select("row", F.col("page_id").cast("string").alias("page_id"), "url", F.when(F.col("revisit"), F.lit("")).otherwise(F.coalesce("html", F.lit(""))).alias("html"), "payload_bytes", "payload_digest", "revisit", F.col("refers_to").cast("string").alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, part, n = BundleWriter(frame_bytes), TaskContext.get().partitionId(), 0
@@ -148,8 +159,8 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
             return pd.DataFrame({"bundle_id": [f"{part:06d}-{n:06d}"], "bundle": [bundle], "index": [[{"record_id": r, "frame": f, "offset": o} for r, f, o in index]]})
 
         for b in batches:
-            for row, page, url, html, size, sha1, again, refers in zip(*(b[c] for c in ("_row", "_id", "_url", "_html", "_bytes", "_sha1", "_revisit", "_refers")), strict=True):
-                w.add(str(row), record(str(row), "revisit" if again else "response", url or "", html.encode(), size, sha1, "" if page is None else page, "" if refers is None else refers))
+            for row, page, url, html, size, sha1, again, refers in b.itertuples(index=False, name=None):
+                w.add(str(row), record(str(row), "revisit" if again else "response", url or "", html.encode(), size, sha1, page, refers))
                 if w.bytes >= bundle_bytes:
                     yield closed()
                     n += 1
@@ -162,27 +173,35 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 def read_bundles(bundles: DataFrame) -> DataFrame:
     """Every record of the bundles: bundle_id, frame, offset, record_id, record_type, url, page_id, refers_to (texts), payload_bytes, payload_digest, payload.
 
-    Responses are checked against their digests, frames against the seek table; a mismatch is an error.
+    Records are read where the index says, each frame decompressed once by the seek table. A record that isn't there,
+    bytes that no record covers, and a response that doesn't match its digest are errors. Bundles without records, or
+    none, give no rows; null ids come back as null, repeated ones as often as they were written.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for name, bundle in zip(b["bundle_id"], b["bundle"], strict=True):
-                table = seek_table(bundle)
+            for name, bundle, index in zip(b["bundle_id"], b["bundle"], b["index"], strict=True):
+                table, places = seek_table(bundle), defaultdict(list)
+                for i in index:
+                    places[i["frame"]].append((i["offset"], i["record_id"]))
                 for frame in range(len(table)):
                     data, at, rows = read_frame(bundle, table, frame), 0, []
-                    while at < len(data):
-                        h, payload, end = parse_record(data, at)
+                    for offset, record_id in sorted(places[frame]):
+                        h, payload, end = parse_record(data, offset)
+                        if offset != at or h["WARC-Record-ID"] != f"<urn:seqloom:{record_id}>":
+                            raise ValueError(f"index of {name}: no record {record_id} at byte {offset} of frame {frame}")
                         size, digest = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
                         if h["WARC-Type"] == "response":
                             size, real = len(payload), hashlib.sha1(payload).hexdigest()
                             if real != digest:
-                                raise ValueError(f"digest of record {h['WARC-Record-ID']}")
-                        rows.append((name, frame, at, h["WARC-Record-ID"][len("<urn:seqloom:") : -1], h["WARC-Type"], h["WARC-Target-URI"], h["X-Page-ID"] or None, h.get("X-Refers-To-Page-ID") or None, size, digest, payload))
+                                raise ValueError(f"digest of record {record_id}")
+                        rows.append((name, frame, offset, record_id, h["WARC-Type"], json.loads(h["X-URL"]), json.loads(h["X-Page-ID"]), json.loads(h.get("X-Refers-To-Page-ID", "null")), size, digest, payload))
                         at = end
+                    if at != len(data):
+                        raise ValueError(f"index of {name}: frame {frame} has more bytes than records")
                     yield pd.DataFrame(rows, columns=["bundle_id", "frame", "offset", "record_id", "record_type", "url", "page_id", "refers_to", "payload_bytes", "payload_digest", "payload"])
 
-    return bundles.select("bundle_id", "bundle").mapInPandas(run, "bundle_id string, frame int, offset long, record_id string, record_type string, url string, page_id string, refers_to string, payload_bytes long, payload_digest string, payload binary")
+    return bundles.select("bundle_id", "bundle", "index").mapInPandas(run, "bundle_id string, frame int, offset long, record_id string, record_type string, url string, page_id string, refers_to string, payload_bytes long, payload_digest string, payload binary")
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
