@@ -9,8 +9,10 @@ emits one boundary record for each piece. No row is shuffled but the totals.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,12 @@ def worker_tokenizer(path: str) -> CachedTokenizer:
     return _KEPT[path]
 
 
+@lru_cache(maxsize=1 << 16)
+def plain_end(c: str) -> bool:
+    """Whether a character is a letter or digit and is nothing else once composed and lower-cased: a capital I with dot ends in a combining mark then, which the marks after it join."""
+    return all(unicodedata.category(x)[0] in "LN" for x in c + unicodedata.normalize("NFC", c).lower())
+
+
 class CachedTokenizer:
     """Ids of whole texts from ids of their white-space separated words.
 
@@ -62,7 +70,7 @@ class CachedTokenizer:
         for w in words:
             if (ids := old.get(w)) is not None:
                 new[w] = ids
-            elif (core := w.rstrip(ASCII_MARKS)) and core != w and core.decode()[-1].isalnum():
+            elif (core := w.rstrip(ASCII_MARKS)) and core != w and plain_end(core.decode()[-1]):
                 ended.append((w, core, w[len(core) :]))  # marks after a letter or digit are tokens of their own
             else:
                 missing.append(w)
