@@ -2,19 +2,19 @@
 
 A document is the sequence of its shingles of K words, each labelled with its occurrence number, so that all are
 distinct. For each of BANDS seeds the document's PICK smallest labelled shingles are taken and kept in text order; their
-hash is a band key. Documents that share a key are candidates; these are aligned in a band around the diagonal that is as
-wide as the threshold allows: M labelled shingles in the same order in both, of n and m, give a similarity of
-M / (n + m - M), the Jaccard similarity that also respects order.
+hash is a band key. Documents that share a key are candidates. Their words are aligned in a band around the diagonal that
+is as wide as the threshold allows: with M words equal in the same order, of n and m, the edit similarity is
+M / max(n, m), so a changed, added or missing word costs one word, wherever it stands.
 
 Equal texts are one document from the start. In a bucket all members are compared with its most central one first, so
 the work follows the number of members where they are alike. Buckets that this leaves with several classes are packed
-into blocks, and the blocks compared in pairs: a block pair gives links that connect what all its links connect, never a
-row for each pair, and no candidate link between different classes is lost.
+into blocks of like length, and those blocks compared in pairs whose lengths allow the similarity: a block pair gives
+links that connect what all its links connect, never a row for each pair, and no candidate link between different classes
+is lost.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +27,10 @@ from .common import drop_saved, free_name, saved, with_row_number
 from .components import components
 from .packing import chunks
 
-#: Words in a shingle, seeds, labelled shingles for each seed, least similarity.
-K, BANDS, PICK, LEAST = 5, 12, 3, 0.8
-#: Members of a bucket in a block.
-BLOCK = 256
+#: Words in a shingle, seeds, labelled shingles for each seed, least edit similarity.
+K, BANDS, PICK, LEAST = 5, 12, 2, 0.8
+#: Members of a bucket, and words of theirs, in a block.
+BLOCK, BLOCK_WORDS = 256, 1 << 18
 #: Characters sketched at once: arrays of this many words stay in a core's cache.
 CHUNK_CHARS = 1 << 18
 
@@ -47,7 +47,7 @@ class Words:
         self.cache = cache
 
     def __call__(self, text: str) -> list[int]:
-        words = text.lower().encode().split()
+        words = text.encode().lower().split()
         try:
             return list(map(self.seen.__getitem__, words))
         except KeyError:
@@ -125,34 +125,43 @@ def band_keys(h: np.ndarray, starts: np.ndarray, bands: int = BANDS, pick: int =
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Similarity of two sequences of distinct values if it is at least least, else 0: the longest chain of common values in a band."""
+    """Edit similarity of two sequences of words if it is at least least, else 0: words equal in order, in a band, over the longer length.
+
+    An alignment with enough equal words leaves the diagonal by no more than the words that it may miss. Equal ends are
+    taken off, which loses nothing; the rest is aligned by bits, a step for each word of b and a bit for each of a.
+    """
     n, m = len(a), len(b)
-    if not n or not m or min(n, m) < least * max(n, m) - 1e-9:
+    most = max(n, m)
+    need = int(np.ceil(least * most - 1e-9))
+    if not n or not m or min(n, m) < need:
         return 0.0
-    need = least / (1 + least) * (n + m)  # M / (n + m - M) >= least
-    band = int(n + m - 2 * need + 1e-9)  # an alignment with so many matches leaves the diagonal by no more than its gaps
-    order = np.argsort(b)
-    where = np.searchsorted(b[order], a)
-    where[where == m] = 0
-    j = order[where]
-    i = np.flatnonzero((b[j] == a) & (np.abs(np.arange(n) - j) <= band))
-    j = j[i]
-    if len(j) < need - 1e-9:
-        return 0.0
-    if len(j) > 1 and not (np.diff(j) > 0).all():
-        tails: list[int] = []
-        for v in j.tolist():
-            at = bisect.bisect_left(tails, v)
-            tails[at : at + 1] = [v]
-        chain = len(tails)
-    else:
-        chain = len(j)
-    similar = chain / (n + m - chain)
-    return similar if similar >= least - 1e-12 else 0.0
+    short = min(n, m)
+    differ = np.flatnonzero(a[:short] != b[:short])
+    head = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[::-1][: short - head] != b[::-1][: short - head])
+    tail = int(differ[0]) if len(differ) else short - head
+    x, y = a[head : n - tail].tolist(), b[head : m - tail].tolist()
+    if not x or not y:
+        return (head + tail) / most if head + tail >= need else 0.0
+    band = most - need
+    masks: dict[int, int] = {}
+    for i, w in enumerate(x):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    free, wide = full, 2 * band + 1 < len(x)
+    strip = (1 << 2 * band + 1) - 1
+    for j, w in enumerate(y):
+        if hit := masks.get(w):
+            if wide:
+                hit &= strip << j - band if j >= band else strip >> band - j
+            hit &= free
+            free = (free + hit | free - hit) & full
+    found = head + tail + len(x) - free.bit_count()
+    return found / most if found >= need else 0.0
 
 
 def sketches(docs: DataFrame, text_col: str, row: str, k: int, bands: int, pick: int) -> DataFrame:
-    """row, digest (of the text), n, shingles (32-bit each), keys for each row; written once."""
+    """row, digest (of the text), n, words (32-bit hashes), keys for each row; written once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -162,76 +171,85 @@ def sketches(docs: DataFrame, text_col: str, row: str, k: int, bands: int, pick:
                 own = texts.iloc[part].tolist()
                 split = [words(t) for t in own]
                 full = [i for i, w in enumerate(split) if w]
-                h, starts = labelled_shingles([split[i] for i in full], k)
-                keys = band_keys(h, starts, bands, pick)
-                short = (h >> np.uint64(32)).astype("<u4")
-                n, shingles, lists = [0] * len(own), [b""] * len(own), [[] for _ in own]
-                for j, (i, lo, hi) in enumerate(zip(full, starts, np.append(starts[1:], len(h)), strict=True)):
-                    n[i], shingles[i], lists[i] = hi - lo, short[lo:hi].tobytes(), keys[j]
-                yield pd.DataFrame({"row": b["row"].iloc[part].to_numpy(), "digest": [xxhash.xxh3_128_digest(t.encode()) for t in own], "n": n, "shingles": shingles, "keys": lists})
+                keys = band_keys(*labelled_shingles([split[i] for i in full], k), bands, pick)
+                lists = [[] for _ in own]
+                for j, i in enumerate(full):
+                    lists[i] = keys[j]
+                short = [(np.array(w, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for w in split]
+                yield pd.DataFrame({"row": b["row"].iloc[part].to_numpy(), "digest": [xxhash.xxh3_128_digest(t.encode()) for t in own], "n": [len(w) for w in split], "words": short, "keys": lists})
 
-    return saved(docs.select(F.col(row).alias("row"), F.col(text_col).alias("t")).mapInPandas(run, "row long, digest binary, n int, shingles binary, keys array<long>"))
+    return saved(docs.select(F.col(row).alias("row"), F.col(text_col).alias("t")).mapInPandas(run, "row long, digest binary, n int, words binary, keys array<long>"))
 
 
 def verified(pairs: DataFrame, own: DataFrame, least: float) -> DataFrame:
     """Those of pairs (a, b) that align. Both joins are plain joins of two shuffles, which Spark splits where one side's row has very many partners."""
-    left = pairs.join(own.select(F.col("row").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(own.select(F.col("row").alias("b"), F.col("shingles").alias("sb")), "b")
+    left = pairs.join(own.select(F.col("row").alias("a"), F.col("words").alias("wa")), "a")
+    both = left.join(own.select(F.col("row").alias("b"), F.col("words").alias("wb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yes = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) > 0 for x, y in zip(p["sa"], p["sb"], strict=True)]
+            yes = [aligned(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) > 0 for x, y in zip(p["wa"], p["wb"], strict=True)]
             yield p.loc[yes, ["a", "b"]]
 
-    return both.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
-
+    return both.select("a", "b", "wa", "wb").mapInPandas(run, "a long, b long")
 
-def bucket_blocks(known: DataFrame, open_buckets: DataFrame, keys: DataFrame, texts: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The members of buckets that hold several classes, packed into blocks of about size members: bucket, blk, n, rows, cs, ms, keys, shingles."""
-    own = known.join(open_buckets, F.col("bucket") == F.col("ob")).withColumn("blk", F.pmod(F.xxhash64("row"), F.ceil(F.col("members") / size)).cast("int")).select("bucket", "blk", "row", "c")
-    own = own.join(texts, "row").join(keys.withColumnRenamed("row", "r"), F.col("row") == F.col("r")).select("bucket", "blk", "row", "c", "shingles", "keys")
 
-    def pack(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("row")
-        lengths = np.array([len(x) // 4 for x in b["shingles"]], "<i8")
-        return pd.DataFrame({"bucket": [b["bucket"].iloc[0]], "blk": [b["blk"].iloc[0]], "rows": [b["row"].to_numpy("<i8").tobytes()], "cs": [b["c"].to_numpy("<i8").tobytes()], "ms": [lengths.tobytes()], "keys": [np.stack(b["keys"]).astype("<i8").tobytes()], "shingles": [b"".join(b["shingles"])]})
+def bucket_blocks(known: DataFrame, open_buckets: DataFrame, keys: DataFrame, texts: DataFrame, least: float, size: int, words: int) -> DataFrame:
+    """The members of buckets that hold several classes, in blocks of like length: bucket, len (length's class), blk, rows, cs, texts, keys.
 
-    return saved(own.groupBy("bucket", "blk").applyInPandas(pack, "bucket long, blk int, rows binary, cs binary, ms binary, keys binary, shingles binary"))
+    Two texts as similar as least are in the same class of lengths or in neighbouring ones. A block has at most about size
+    members and so many words, or one member.
+    """
+    step = -np.log(least)
+    own = known.join(open_buckets, F.col("bucket") == F.col("ob")).select("bucket", "row", "c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("len"))
+    room = F.greatest(F.lit(1), F.least(F.lit(size), F.floor(F.lit(float(words)) / F.exp((F.col("l") + 1) * step)))).cast("long")
+    counts = saved(own.groupBy(F.col("bucket").alias("ob"), F.col("len").alias("l")).agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / room)))
+    placed = own.join(counts, (F.col("bucket") == F.col("ob")) & (F.col("len") == F.col("l"))).withColumn("blk", F.pmod(F.xxhash64("row"), "parts").cast("int")).select("bucket", "len", "blk", "row", "c")
+    whole = placed.join(texts, "row").join(keys.withColumnRenamed("row", "r"), F.col("row") == F.col("r"))
+    return saved(whole.groupBy("bucket", "len", "blk").agg(F.collect_list("row").alias("rows"), F.collect_list("c").alias("cs"), F.collect_list("words").alias("texts"), F.collect_list("keys").alias("keys")))
 
 
 def block_links(x: tuple, y: tuple | None, bucket: int, least: float) -> list[tuple[int, int]]:
     """Links inside a block, or between two, that connect what all links between different classes connect.
 
-    x, y: (rows, classes, lengths, keys, shingles). A pair is looked at in the first bucket that both are in. The numbers
-    of common shingles come from a product of matrices; pairs with enough of them are aligned unless already connected.
+    x, y: (rows, classes, texts, keys). A pair is looked at in the first bucket that both are in. Products of matrices
+    give the numbers of common words, each occurrence counted; pairs with enough of them are aligned unless already connected.
     """
-    rows, cs, ms, keys, sh = x if y is None else tuple(np.concatenate([p, q]) for p, q in zip(x, y, strict=True))
+    rows, cs, texts, keys = x if y is None else (np.concatenate([x[0], y[0]]), np.concatenate([x[1], y[1]]), x[2] + y[2], np.concatenate([x[3], y[3]]))
     n, left = len(rows), len(x[0])
+    if n < 2:
+        return []
     bands = keys.shape[1]
     first = np.full((n, n), bands, np.int8)
     for b in range(bands - 1, -1, -1):
         first[keys[:, b][:, None] == keys[:, b][None, :]] = b
     mine = np.argmax(keys == bucket, axis=1)
-    want = (first == np.minimum(mine[:, None], mine[None, :])) & (cs[:, None] != cs[None, :])
+    ms = np.array([len(t) for t in texts], np.int64)
+    most = np.maximum(ms[:, None], ms[None, :])
+    want = (first == np.minimum(mine[:, None], mine[None, :])) & (cs[:, None] != cs[None, :]) & (np.minimum(ms[:, None], ms[None, :]) >= least * most - 1e-9)
     want &= np.triu(np.ones((n, n), bool), 1)
     if y is not None:
         want[:left, :left] = want[left:, left:] = False
     if not want.any():
         return []
-    owner = np.repeat(np.arange(n), ms)
-    values, column, times = np.unique(sh, return_inverse=True, return_counts=True)
-    ok = times[column] > 1
-    owner, column = owner[ok], (np.cumsum(times > 1) - 1)[column[ok]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common, width = np.zeros((n, n), np.float32), max(1, (1 << 21) // n)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, b = np.searchsorted(column, [lo, lo + width])
-        m = np.zeros((n, width), np.float32)
-        m[owner[a:b], column[a:b] - lo] = 1
-        common += m @ m.T
-    want &= common >= least / (1 + least) * (ms[:, None] + ms[None, :]) - 1e-3
-    starts = np.cumsum(ms) - ms
+    alone = np.flatnonzero(want.any(axis=1) | want.any(axis=0))
+    if len(alone) < n:  # rows without partners need no counts
+        want, most, cs, rows, texts, ms, n = want[np.ix_(alone, alone)], most[np.ix_(alone, alone)], cs[alone], rows[alone], [texts[i] for i in alone], ms[alone], len(alone)
+    if n > 2:
+        values, starts = labelled_shingles([t.astype(np.uint64).tolist() for t in texts], 1)
+        owner = np.repeat(np.arange(n), ms)
+        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        ok = times[column] > 1
+        owner, column = owner[ok], (np.cumsum(times > 1) - 1)[column[ok]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common, width = np.zeros((n, n), np.float32), max(1, (1 << 21) // n)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            m = np.zeros((n, width), np.float32)
+            m[owner[a:b], column[a:b] - lo] = 1
+            common += m @ m.T
+        want &= common >= least * most - 1e-3
     parent: dict[int, int] = {}
 
     def find(i: int) -> int:
@@ -242,24 +260,23 @@ def block_links(x: tuple, y: tuple | None, bucket: int, least: float) -> list[tu
     out = []
     for i, j in zip(*np.nonzero(want), strict=True):
         p, q = find(int(cs[i])), find(int(cs[j]))
-        if p != q and aligned(sh[starts[i] : starts[i] + ms[i]], sh[starts[j] : starts[j] + ms[j]], least):
+        if p != q and aligned(texts[i], texts[j], least):
             parent[p] = q
             out.append((int(rows[i]), int(rows[j])))
     return out
 
 
 def unpacked(r, s: str) -> tuple:
-    rows = np.frombuffer(getattr(r, f"rows{s}"), "<i8")
-    return rows, np.frombuffer(getattr(r, f"cs{s}"), "<i8"), np.frombuffer(getattr(r, f"ms{s}"), "<i8"), np.frombuffer(getattr(r, f"keys{s}"), "<i8").reshape(len(rows), -1), np.frombuffer(getattr(r, f"shingles{s}"), "<u4")
+    return np.asarray(getattr(r, f"rows{s}"), np.int64), np.asarray(getattr(r, f"cs{s}"), np.int64), [np.frombuffer(t, "<u4") for t in getattr(r, f"texts{s}")], np.stack([np.asarray(k, np.int64) for k in getattr(r, f"keys{s}")])
 
 
 def links_in_blocks(blocks: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that connect the classes inside buckets: each block in itself, and each pair of a bucket's blocks."""
-    names = ("rows", "cs", "ms", "keys", "shingles")
+    """Links (a, b) that connect the classes inside buckets: each block in itself, and each pair of a bucket's blocks whose lengths are near enough."""
+    names = ("rows", "cs", "texts", "keys")
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            found = [x for r in p.itertuples(index=False) for x in block_links(unpacked(r, ""), None, r.bucket, least)]
+            found = [x for r in p.itertuples(index=False) if len(r.rows) > 1 for x in block_links(unpacked(r, ""), None, r.bucket, least)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,14 +284,15 @@ def links_in_blocks(blocks: DataFrame, least: float) -> DataFrame:
             found = [x for r in p.itertuples(index=False) for x in block_links(unpacked(r, "_x"), unpacked(r, "_y"), r.bucket, least)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    thin = blocks.select("bucket", "blk")
-    pairs = thin.withColumnRenamed("blk", "x").join(thin.withColumnRenamed("blk", "y"), "bucket").where("x < y")
-    side = lambda s: blocks.select("bucket", F.col("blk").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in names])
-    both = pairs.join(side("x"), ["bucket", "x"]).join(side("y"), ["bucket", "y"])
-    return blocks.mapInPandas(within, "a long, b long").union(both.select("bucket", *[f"{c}_{s}" for s in "xy" for c in names]).mapInPandas(between, "a long, b long"))
+    thin = lambda s: blocks.select("bucket", F.col("len").alias(f"len_{s}"), F.col("blk").alias(f"blk_{s}"))
+    near = (F.col("len_y") - F.col("len_x") == 1) | (F.col("len_y") == F.col("len_x")) & (F.col("blk_x") < F.col("blk_y"))
+    pairs = thin("x").join(thin("y"), "bucket").where(near)
+    side = lambda s: blocks.select("bucket", F.col("len").alias(f"len_{s}"), F.col("blk").alias(f"blk_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in names])
+    both = pairs.join(side("x"), ["bucket", "len_x", "blk_x"]).join(side("y"), ["bucket", "len_y", "blk_y"])
+    return blocks.select("bucket", *names).mapInPandas(within, "a long, b long").union(both.select("bucket", *[f"{c}_{s}" for s in "xy" for c in names]).mapInPandas(between, "a long, b long"))
 
 
-def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
+def classes(sk: DataFrame, least: float = LEAST, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
     """row, rep (the smallest row of its class) for rows that have others in their class; sk: sketches()."""
     exact = saved(sk.groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("digest").alias("d"), "rep"))
     copies = saved(sk.select("row", "digest").join(exact, F.col("digest") == F.col("d")).where("row <> rep").select(F.col("row"), "rep"))
@@ -285,11 +303,12 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
     # a bucket's head is its most central member: that whose other buckets are the largest
     central = saved(shared.groupBy("row").agg(F.sum("members").alias("weight")).withColumnRenamed("row", "r"))
     placed = saved(shared.join(central, F.col("row") == F.col("r")).select("bucket", "row", "n", "weight"))
-    heads = saved(placed.groupBy("bucket").agg(F.max(F.struct(F.col("weight"), (-F.col("row")).alias("row"))).alias("top")).select(F.col("bucket").alias("k"), (-F.col("top.row")).alias("head")))
-    members = saved(placed.join(heads, F.col("bucket") == F.col("k")).select("bucket", "row", "n", "head"))
-    texts = saved(sk.select("row", "shingles").hint("merge").join(members.select("row").distinct(), "row", "left_semi"))
+    heads = saved(placed.groupBy("bucket").agg(F.max(F.struct(F.col("weight"), (-F.col("row")).alias("row"), "n")).alias("top")).select(F.col("bucket").alias("k"), (-F.col("top.row")).alias("head"), F.col("top.n").alias("hn")))
+    members = saved(placed.join(heads, F.col("bucket") == F.col("k")).select("bucket", "row", "n", "head", "hn"))
+    texts = saved(sk.select("row", "words").hint("merge").join(members.select("row").distinct(), "row", "left_semi"))
 
-    stars = members.where("row <> head").select(F.least("head", "row").alias("a"), F.greatest("head", "row").alias("b")).distinct()
+    fits = F.least("n", "hn") >= least * F.greatest("n", "hn") - 1e-9
+    stars = members.where((F.col("row") != F.col("head")) & fits).select(F.least("head", "row").alias("a"), F.greatest("head", "row").alias("b")).distinct()
     first = saved(verified(stars, texts, least))
     comp = saved(components(first))
 
@@ -298,10 +317,10 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
         return df.join(named, F.col(node) == F.col("_n"), "left").withColumn(out, F.coalesce("_c", node)).drop("_n", "_c")
 
     known = saved(labelled(labelled(members, "row", "c"), "head", "hc"))
-    open_buckets = saved(known.where("c <> hc").groupBy("bucket").agg(F.count(F.lit(1)).alias("apart")).join(sizes, F.col("bucket") == F.col("k")).select(F.col("bucket").alias("ob"), "members"))
+    open_buckets = saved(known.where("c <> hc").groupBy("bucket").agg(F.count(F.lit(1)).alias("apart")).select(F.col("bucket").alias("ob")))
     second = None
     if open_buckets.limit(1).count():
-        blocks = bucket_blocks(known, open_buckets, sk.select("row", "keys"), texts)
+        blocks = bucket_blocks(known, open_buckets, sk.select("row", "keys"), texts, least, block, block_words)
         second = saved(links_in_blocks(blocks, least))
         drop_saved(blocks)
     links = first if second is None else first.union(second)
@@ -315,30 +334,35 @@ def classes(sk: DataFrame, least: float = LEAST) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, bands: int = BANDS, pick: int = PICK, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id, kept for every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, bands: int = BANDS, pick: int = PICK, least: float = LEAST, block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, class_id, kept, and row (the row's number), for every row of docs.
 
-    class_id: smallest id among the rows that links connect with this one, itself included. kept: the row is its class's
-    first in the order of (id, row). Words are lower-cased and split at white space (ASCII). A text of fewer than k
-    words is one shingle; texts without words link with equal texts only, null counting as empty. Null ids come after all
-    others; a class of null ids has a null class_id. Rows may repeat. Other columns are ignored. An empty table gives an
-    empty table.
+    class_id: smallest id among the rows that links connect with this one, itself included; rows are linked if their texts
+    are equal or, being candidates, have an edit similarity of at least least. kept: the row is its class's first in the
+    order of (id, row). Words are runs of bytes other than \\x20 and \\x09 to \\x0D with A-Z lower-cased. A text of fewer
+    than k words is one shingle; texts without words link with equal texts only, null counting as empty. Null ids come
+    after all others; a class of null ids has a null class_id. Rows may repeat. Other columns are ignored, whatever their
+    names. An empty table gives an empty table.
     """
     row = free_name(docs, "dedup_row")
-    d = with_row_number(docs, row)
-    sk = sketches(d, text_col, row, k, bands, pick)
-    cls = classes(sk, least)
+    d = with_row_number(docs, row).select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    sk = sketches(d, "text", "row", k, bands, pick)
+    cls = classes(sk, least, block, block_words)
     drop_saved(sk)
-    out = d.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id")).join(cls.select(F.col("row").alias("_r"), "rep"), F.col("row") == F.col("_r"), "left")
+    out = d.select("row", "doc_id").join(cls.select(F.col("row").alias("r"), "rep"), F.col("row") == F.col("r"), "left")
     out = saved(out.select("row", "doc_id", F.coalesce("rep", "row").alias("rep")))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    tops = saved(out.groupBy("rep").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("_rep"), F.col("top.doc_id").alias("class_id"), F.col("top.row").alias("_top")))
-    got = out.join(tops, F.col("rep") == F.col("_rep"), "left")
-    return got.select("row", "doc_id", F.when(F.col("_rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("_rep").isNull() | (F.col("_top") == F.col("row"))).alias("kept"))
+    tops = saved(out.groupBy("rep").agg(F.min(order).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("rep").alias("top_rep"), F.col("top.doc_id").alias("class_id"), F.col("top.row").alias("top_row")))
+    got = out.join(tops, F.col("rep") == F.col("top_rep"), "left")
+    return got.select("row", "doc_id", F.when(F.col("top_rep").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("top_rep").isNull() | (F.col("top_row") == F.col("row"))).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that near_duplicates() keeps, with all their columns."""
+    """The rows of docs that near_duplicates() keeps, with all their columns, of any name.
+
+    Of each class the row with the smallest id stays, of equal ids the first by row number, null ids last; so null, empty
+    and repeated texts leave one row, and an empty table an empty table.
+    """
     row = free_name(docs, "dedup_row")
     gone = saved(near_duplicates(docs, **options).where("NOT kept").select(F.col("row").alias(row)))
     return with_row_number(docs, row).hint("merge").join(gone, row, "left_anti").select(*docs.columns)
