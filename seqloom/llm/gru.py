@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 
@@ -18,9 +16,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Gru:
-    """Token i's probability given the state before it is p(class of i) p(i in its class); the state starts at zero and takes in each token after it is scored."""
+    """Token i's probability given the state before it is p(class of i) p(i in its class); the state starts at zero and takes in each token after it is scored.
+
+    All weights are views of one array. Biases are the last row or column of their matrices: states have a 1 at their end.
+    """
 
-    def __init__(self, freq: np.ndarray, hidden: int = 32, width: int = 32, classes: int = 64, seed: int = 0):
+    def __init__(self, freq: np.ndarray, hidden: int = 16, width: int = 16, classes: int = 48, seed: int = 0):
         rng = np.random.default_rng(seed)
         k, c = len(freq), min(classes, len(freq))
         self.freq, self.hidden = np.asarray(freq, np.float64), hidden
@@ -28,25 +29,39 @@ class Gru:
         _, self.of = np.unique(of, return_inverse=True)  # no empty class
         c = int(self.of.max()) + 1
         self.first = np.searchsorted(self.of, np.arange(c + 1))
+        self.size = np.diff(self.first)
+        shapes = {"emb": (k, width), "wx": (width + 1, 3 * hidden), "wh": (hidden, 3 * hidden), "wc": (hidden + 1, c), "wo": (k, hidden + 1)}
+        self.flat = np.zeros(sum(a * b for a, b in shapes.values()), np.float32)
+        self.p = self._views(self.flat, shapes)
+        self.shapes = shapes
         p = (self.freq + 1) / (self.freq + 1).sum()
         by_class = np.add.reduceat(p, self.first[:-1])
-        r = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {
-            "emb": (rng.standard_normal((k, width)) * 0.3).astype(np.float32), "wx": r(width, 3 * hidden), "wh": r(hidden, 3 * hidden), "b": np.zeros(3 * hidden, np.float32),
-            "wc": r(hidden, c) * 0.1, "bc": np.log(by_class).astype(np.float32), "wo": (rng.standard_normal((k, hidden)) * 0.05).astype(np.float32), "bo": np.log(p / by_class[self.of]).astype(np.float32),
-        }
+        r = lambda a, b, scale: rng.standard_normal((a, b)) * scale
+        self.p["emb"][:] = r(k, width, 0.3)
+        self.p["wx"][:width], self.p["wh"][:] = r(width, 3 * hidden, width**-0.5), r(hidden, 3 * hidden, hidden**-0.5)
+        self.p["wc"][:hidden], self.p["wc"][hidden] = r(hidden, c, 0.1 * hidden**-0.5), np.log(by_class)
+        self.p["wo"][:, :hidden], self.p["wo"][:, hidden] = r(k, hidden, 0.05), np.log(p / by_class[self.of])
+
+    @staticmethod
+    def _views(flat: np.ndarray, shapes: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for name, (a, b) in shapes.items():
+            out[name] = flat[at : at + a * b].reshape(a, b)
+            at += a * b
+        return out
 
-    # weights as bytes, for averages of replicas
+    # weights as one array, for averages of replicas
     def get(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()])
+        return self.flat.copy()
 
     def put(self, flat: np.ndarray) -> Gru:
-        at = 0
-        for k, v in self.p.items():
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+        self.flat[:] = flat
         return self
 
+    def gates(self) -> np.ndarray:
+        """The input's share of the gates, for every token."""
+        return self.p["emb"] @ self.p["wx"][:-1] + self.p["wx"][-1]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step; x: the input's share of the gates. New state, update and reset gates, candidate, the state's share of it."""
         n = self.hidden
@@ -56,26 +71,39 @@ class Gru:
         c = np.tanh(x[:, 2 * n :] + r * u)
         return c + z * (h - c), z, r, c, u
 
-    def _by_class(self, tokens: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    def _inside(self, hs: np.ndarray, tokens: np.ndarray) -> tuple:
+        """Logits of the words of each token's class, one run of numbers for each token, tokens in the order of their classes.
+
+        Returns order, states in it, classes with the rows of each, logits, begin of each token's run and length.
+        """
         of = self.of[tokens]
         order = np.argsort(of, kind="stable")
         ends = np.searchsorted(of[order], np.arange(len(self.first)))
-        return [(c, order[ends[c] : ends[c + 1]]) for c in range(len(self.first) - 1) if ends[c + 1] > ends[c]]
+        x, width = hs[order], self.size[of[order]]
+        begin = np.cumsum(width) - width
+        logits = np.empty(int(width.sum()), np.float32)
+        parts = []
+        for c in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            a, b, lo, hi = int(ends[c]), int(ends[c + 1]), int(self.first[c]), int(self.first[c + 1])
+            at = int(begin[a])
+            np.matmul(x[a:b], self.p["wo"][lo:hi].T, out=logits[at : at + (b - a) * (hi - lo)].reshape(b - a, hi - lo))
+            parts.append((a, b, lo, hi, at))
+        return order, x, parts, logits, begin, width
 
     def log_prob(self, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log probability of each token given the state before it."""
-        a = h @ self.p["wc"] + self.p["bc"]
-        top = a.max(1)
-        out = a[np.arange(len(a)), self.of[tokens]] - top - np.log(np.exp(a - top[:, None]).sum(1))
-        for c, at in self._by_class(tokens):
-            lo, hi = self.first[c], self.first[c + 1]
-            if hi - lo > 1:
-                e = h[at] @ self.p["wo"][lo:hi].T + self.p["bo"][lo:hi]
-                top = e.max(1)
-                out[at] += e[np.arange(len(e)), tokens[at] - lo] - top - np.log(np.exp(e - top[:, None]).sum(1))
+        hs = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
+        a = hs @ self.p["wc"]
+        a -= a.max(axis=1, keepdims=True)
+        out = a[np.arange(len(a)), self.of[tokens]] - np.log(np.exp(a).sum(axis=1))
+        order, _, _, logits, begin, width = self._inside(hs, tokens)
+        if len(logits):
+            np.clip(logits, -80, 80, out=logits)
+            own = logits[begin + tokens[order] - self.first[self.of[tokens[order]]]]
+            out[order] += own - np.log(np.add.reduceat(np.exp(logits), begin))
         return out
 
-    def score(self, docs: list[np.ndarray], room: int = 1 << 14) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], room: int = 1 << 15) -> np.ndarray:
         """Natural log probability of whole documents (token arrays); the state is carried from window to window to a document's end."""
         n = np.array([len(d) for d in docs], np.int64)
         order = np.argsort(-n, kind="stable")
@@ -85,7 +113,7 @@ class Gru:
         lens = n[order]
         flat = np.concatenate([docs[i] for i in order]).astype(np.int64)
         start = np.cumsum(lens) - lens
-        gates = self.p["emb"] @ self.p["wx"] + self.p["b"]
+        gates = self.gates()
         h = np.zeros((len(docs), self.hidden), np.float32)
         t = 0
         while t < lens[0]:
@@ -107,68 +135,76 @@ class Gru:
         out[order] = total
         return out
 
-    def window(self, tokens: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Loss, gradients and last state of one window (steps x lanes); nothing is propagated before its start."""
+    def window(self, tokens: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient (one array, as the weights) and last state of one window (steps x lanes); nothing is propagated before its start."""
         p, n, (steps, lanes) = self.p, self.hidden, tokens.shape
-        e = p["emb"][tokens]
-        x = e @ p["wx"] + p["b"]
-        keep, before = [], np.empty((steps, lanes, n), np.float32)
+        whole = [bool(m.all()) for m in mask]
+        seen, at = np.unique(tokens.ravel(), return_inverse=True)
+        x = (p["emb"][seen] @ p["wx"][:-1] + p["wx"][-1])[at].reshape(steps, lanes, 3 * n)
+        keep, before = [], np.ones((steps, lanes, n + 1), np.float32)
         for i in range(steps):
-            before[i] = h
+            before[i, :, :n] = h
             new, z, r, c, u = self.step(x[i], h)
             keep.append((z, r, c, u))
-            h = np.where(mask[i][:, None], new, h)
-        at = np.flatnonzero(mask.ravel())
-        w, hs = tokens.ravel()[at], before.reshape(-1, n)[at]
-        count = max(1, len(at))
-        a = hs @ p["wc"] + p["bc"]
-        a = np.exp(a - a.max(1, keepdims=True))
-        a /= a.sum(1, keepdims=True)
-        rows = np.arange(len(w))
+            h = new if whole[i] else np.where(mask[i][:, None], new, h)
+        live = slice(None) if all(whole) else np.flatnonzero(mask.ravel())
+        w, hs = tokens.ravel()[live], before.reshape(-1, n + 1)[live]
+        count, rows = max(1, len(w)), np.arange(len(w))
+        a = hs @ p["wc"]
+        a = np.exp(a - a.max(axis=1, keepdims=True))
+        a /= a.sum(axis=1, keepdims=True)
         loss = -np.log(a[rows, self.of[w]] + 1e-30).sum()
         a[rows, self.of[w]] -= 1
-        a /= count
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["wc"], g["bc"], dh = hs.T @ a, a.sum(0), a @ p["wc"].T
-        for c, own in self._by_class(w):
-            lo, hi = self.first[c], self.first[c + 1]
-            if hi - lo > 1:
-                x1 = hs[own]
-                o = x1 @ p["wo"][lo:hi].T + p["bo"][lo:hi]
-                o = np.exp(o - o.max(1, keepdims=True))
-                o /= o.sum(1, keepdims=True)
-                j = np.arange(len(own))
-                loss -= np.log(o[j, w[own] - lo] + 1e-30).sum()
-                o[j, w[own] - lo] -= 1
-                o /= count
-                g["wo"][lo:hi], g["bo"][lo:hi] = o.T @ x1, o.sum(0)
-                dh[own] += o @ p["wo"][lo:hi]
-        d_before = np.zeros((steps * lanes, n), np.float32)
-        d_before[at] = dh
-        d_before = d_before.reshape(steps, lanes, n)
-        dx = np.zeros((steps, lanes, 3 * n), np.float32)
+        flat = np.zeros_like(self.flat)
+        g = self._views(flat, self.shapes)
+        np.matmul(hs.T, a, out=g["wc"])
+        dh = a @ p["wc"][:n].T
+        order, xs, parts, o, begin, width = self._inside(hs, w)
+        if len(o):
+            np.clip(o, -80, 80, out=o)
+            np.exp(o, out=o)
+            o *= np.repeat(1 / np.add.reduceat(o, begin), width)
+            own = begin + w[order] - self.first[self.of[w[order]]]
+            loss -= np.log(o[own] + 1e-30).sum()
+            o[own] -= 1
+            back = np.empty((len(w), n), np.float32)
+            for lo, hi, first, last, place in parts:
+                e = o[place : place + (hi - lo) * (last - first)].reshape(hi - lo, last - first)
+                np.matmul(e.T, xs[lo:hi], out=g["wo"][first:last])
+                np.matmul(e, p["wo"][first:last, :n], out=back[lo:hi])
+            dh[order] += back
+        d_before = dh.reshape(steps, lanes, n) if all(whole) else np.zeros((steps * lanes, n), np.float32)
+        if not all(whole):
+            d_before[live] = dh
+            d_before = d_before.reshape(steps, lanes, n)
+        dx, ds = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
         back = np.zeros((lanes, n), np.float32)
+        wh = np.ascontiguousarray(p["wh"].T)
         for i in range(steps - 1, -1, -1):
             z, r, c, u = keep[i]
-            m = mask[i][:, None]
-            d = np.where(m, back, 0)
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (before[i] - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            dx[i] = np.concatenate([dz, dr, dc], 1)
-            ds = np.concatenate([dz, dr, dc * r], 1)
-            g["wh"] += before[i].T @ ds
-            back = np.where(m, d * z, back) + ds @ p["wh"].T + d_before[i]
-        flat = dx.reshape(-1, 3 * n)
-        g["b"], g["wx"] = flat.sum(0), e.reshape(-1, e.shape[2]).T @ flat
-        de = flat @ p["wx"].T
-        order = np.argsort(tokens.ravel(), kind="stable")
-        t = tokens.ravel()[order]
-        edges = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        g["emb"][t[edges]] = np.add.reduceat(de[order], edges, axis=0)
-        return float(loss) / count, g, h
-
-    def train(self, segments: list[np.ndarray], rate: float, lanes: int | None = None, window: int = 32, clip: float = 1.0, seed: int = 0) -> float:
+            d = back if whole[i] else np.where(mask[i][:, None], back, 0)
+            k = 1 - z
+            dc = d * k
+            dx[i, :, :n] = d * (before[i, :, :n] - c) * z * k
+            dc *= 1 - c * c
+            dx[i, :, n : 2 * n] = dc * u * r * (1 - r)
+            dx[i, :, 2 * n :] = dc
+            ds[i, :, : 2 * n] = dx[i, :, : 2 * n]
+            np.multiply(dc, r, out=ds[i, :, 2 * n :])
+            through = d * z if whole[i] else np.where(mask[i][:, None], d * z, back)
+            back = through + ds[i] @ wh + d_before[i]
+        np.matmul(before.reshape(-1, n + 1)[:, :n].T, ds.reshape(-1, 3 * n), out=g["wh"])
+        # the input's share: sums over equal tokens first
+        by_token = np.argsort(at, kind="stable")
+        edges = np.searchsorted(at.ravel()[by_token], np.arange(len(seen)))
+        summed = np.add.reduceat(dx.reshape(-1, 3 * n)[by_token], edges, axis=0)
+        np.matmul(p["emb"][seen].T, summed, out=g["wx"][:-1])
+        g["wx"][-1] = summed.sum(axis=0)
+        g["emb"][seen] = summed @ p["wx"][:-1].T
+        flat /= count
+        return float(loss) / count, flat, h
+
+    def train(self, segments: list[np.ndarray], rate: float, lanes: int | None = None, window: int = 16, clip: float = 1.0, seed: int = 0) -> float:
         """One pass of Adam over segments, each a run of tokens of one document; the state is carried from a segment's window to its next.
 
         lanes: segments side by side; by default fewer for few segments, so that there are enough steps.
@@ -177,10 +213,10 @@ class Gru:
         segments = [s for s in segments if len(s)]
         if not segments:
             return 0.0
-        lanes = lanes or min(96, max(8, len(segments) // 64))
+        lanes = lanes or min(256, max(8, len(segments) // 32))
         order = np.argsort([len(s) for s in segments], kind="stable")
         batches = [order[i : i + lanes] for i in range(0, len(order), lanes)]
-        m, v, step, losses = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0, []
+        m, v, step, losses = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, []
         planned = sum(-(-max(len(segments[i]) for i in b) // window) for b in batches)
         for b in rng.permutation(len(batches)):
             own = [segments[i] for i in batches[b]]
@@ -192,19 +228,16 @@ class Gru:
             for t in range(0, longest, window):
                 loss, g, h = self.window(tokens[t : t + window], mask[t : t + window], h)
                 losses.append(loss)
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                scale = min(1.0, clip / (norm + 1e-9))
                 now = rate * min(1.0, (step + 1) / 20) * (1 - 0.9 * step / max(1, planned))
                 step += 1
-                fix1, fix2 = 1 - 0.9**step, 1 - 0.99**step
-                for k, x in g.items():
-                    x *= scale
-                    m[k] += 0.1 * (x - m[k])
-                    v[k] += 0.01 * (x * x - v[k])
-                    self.p[k] -= (now / fix1) * m[k] / (np.sqrt(v[k] / fix2) + 1e-8)
+                g *= min(1.0, clip / (float(np.sqrt(np.dot(g, g))) + 1e-9))
+                m += 0.1 * (g - m)
+                g *= g
+                v += 0.01 * (g - v)
+                np.sqrt(v, out=g)
+                g *= (1 - 0.99**step) ** -0.5
+                g += 1e-8
+                np.divide(m, g, out=g)
+                g *= now / (1 - 0.9**step)
+                self.flat -= g
         return float(np.mean(losses))
-
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, freq=self.freq, flat=self.get(), size=[self.hidden, self.p["emb"].shape[1], len(self.first) - 1])
-        return out.getvalue()

@@ -4,8 +4,9 @@ Words of all training documents are counted. The most frequent form the model's
 unknown tokens by their shape, and inside a kind a word's probability is its add-one share of the kind's count, so the
 model gives every text a proper probability. Training takes all segments of all training documents, dealt by hash, as
 runs of windows with truncated backpropagation; replicas of bounded work train in parallel from common weights and are
-averaged after each round, so there are more of them the more text there is. Scoring carries the state to a document's end. Counts
-of words beyond the broadcast head are joined, not broadcast.
+averaged after each round, so there are more of them the more text there is. Scoring carries the state to a document's end.
+Texts are read twice: to count words, and to turn them into tokens, which both training and scoring take from a written
+table. Counts of words beyond the broadcast head are joined, not broadcast.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ from .common import drop_saved, free_name, saved, with_row_number
 from .gru import Gru
 from .packing import chunks
 
-#: Words whose counts are broadcast at most; tokens of the model at most.
-HEAD, VOCABULARY = 1 << 18, 4096
+#: Words whose counts are broadcast at most, bytes of such a word at most; tokens of the model at most.
+HEAD, LONG, VOCABULARY = 1 << 18, 64, 4096
 #: Tokens in a training segment; tokens that a replica sees in all rounds; rounds.
 SEGMENT, REPLICA, ROUNDS = 128, 1 << 21, 3
 #: Words counted in a worker before counts are handed on.
@@ -79,20 +81,23 @@ class Lexicon:
 
     def __init__(self, counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY):
         self.total, self.distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
+        end = counts.where(F.col("word") == F.lit(END)).first()
+        self.end_count = int(end.n) if end else 0
+        words = counts.where(F.col("word") != F.lit(END))
+        short = words.where(F.octet_length("word") <= LONG)
         left, least = head, None
-        for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(head).toLocalIterator():
+        for r in short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(head).toLocalIterator():
             if r.words > left:
                 break
             left, least = left - r.words, r.n
-        rows = counts.where(F.col("n") >= least).collect() if least is not None else []
+        rows = short.where(F.col("n") >= least).collect() if least is not None else []
         rows.sort(key=lambda r: (-r.n, bytes(r.word)))
         self.words = [bytes(r.word) for r in rows]
         self.count = np.array([r.n for r in rows], np.int64)
         self.kind = np.array([r.kind for r in rows], np.int8)
-        known = [i for i, w in enumerate(self.words) if w != END][: vocabulary - KINDS - 1]
-        self.end_count = int(self.count[self.words.index(END)]) if END in self.words else 0
+        known = np.arange(min(len(rows), vocabulary - KINDS - 1))
         # counts and words of each kind outside the model's tokens
-        by_kind = {r.kind: (r.n, r.words) for r in counts.where(F.col("word") != F.lit(END)).groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}
+        by_kind = {r.kind: (r.n, r.words) for r in words.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}
         self.tail_n, self.tail_words = (np.array([by_kind.get(k, (0, 0))[j] for k in range(KINDS)], np.int64) for j in (0, 1))
         np.subtract.at(self.tail_n, self.kind[known], self.count[known])
         np.subtract.at(self.tail_words, self.kind[known], 1)
@@ -104,42 +109,65 @@ class Lexicon:
         self.freq, self.kind_token, self.end_token = freq[order], token[:KINDS], int(token[KINDS])
         self.token = self.kind_token[self.kind] if len(rows) else np.zeros(0, np.int64)
         self.token[known] = token[KINDS + 1 :]
-        in_model = np.zeros(len(rows), bool)
-        in_model[known] = True
         # log10 probabilities of the base, and of a word in its kind (0 for the model's own tokens)
         self.unit = self.total + self.distinct + 1
         self.base = np.log10((self.count + 1) / self.unit)
         self.kind_unit = self.tail_n + self.tail_words + 1
-        self.inside = np.where(in_model, 0.0, np.log10((self.count + 1) / self.kind_unit[self.kind])) if len(rows) else np.zeros(0)
+        self.inside = np.log10((self.count + 1) / self.kind_unit[self.kind]) if len(rows) else np.zeros(0)
+        self.inside[known] = 0.0
         self.end_base = math.log10((self.end_count + 1) / self.unit)
 
     def index(self) -> dict[bytes, int]:
-        return {w: i for i, w in enumerate(self.words) if w != END}
+        return {w: i for i, w in enumerate(self.words)}
 
 
-def segments(texts: DataFrame, shared) -> DataFrame:
-    """Training segments: tokens (unsigned 16 bit), their number, and a hash."""
+def tokenized(docs: DataFrame, shared) -> DataFrame:
+    """row, d, held_out, n_tokens, n_known, base, inside (sums over words of the head), tokens (unsigned 16 bit), tail (words beyond the head), written once.
+
+    docs: row, d, held_out, t. shared: a broadcast Lexicon.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = shared.value
         get = lex.index().get
+        token, base, inside = (np.append(x, 0) for x in (lex.token, lex.base, lex.inside))  # -1 is no word of the head
         for b in batches:
-            t = b["t"].fillna("")
+            t = b.pop("t").fillna("")
             for s in chunks(t):
-                rows = []
-                for d, x in zip(b["d"].iloc[s], t.iloc[s], strict=True):
-                    words = words_of(x)
-                    for i in range(len(words) // SEGMENT + 1):
-                        h = zlib.crc32(f"{d}\x1f{i}".encode())
-                        own = words[i * SEGMENT : (i + 1) * SEGMENT]
-                        tokens = [lex.token[j] if (j := get(w, -1)) >= 0 else lex.kind_token[kind_of(w)] for w in own]
-                        if (i + 1) * SEGMENT > len(words) >= i * SEGMENT:
-                            tokens.append(lex.end_token)
-                        if tokens:
-                            rows.append((np.array(tokens, "<u2").tobytes(), len(tokens), h))
-                yield pd.DataFrame(rows, columns=["tokens", "n", "h"])
-
-    return saved(texts.mapInPandas(run, "tokens binary, n int, h long"))
+                each = [words_of(x) for x in t.iloc[s]]
+                n = np.array([len(w) for w in each], np.int64)
+                flat = list(chain.from_iterable(each))
+                at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+                owner = np.repeat(np.arange(len(n)), n)
+                own = token[at]
+                tails: list[Counter] = [Counter() for _ in each]
+                for i in np.flatnonzero(at < 0).tolist():
+                    w = flat[i]
+                    own[i] = lex.kind_token[kind_of(w)]
+                    tails[owner[i]][w] += 1
+                stops = np.cumsum(n + 1)
+                tokens = np.full(int(stops[-1]) if len(n) else 0, lex.end_token, "<u2")
+                tokens[np.arange(len(flat)) + owner] = own
+                raw, ends = tokens.tobytes(), (2 * stops).tolist()
+                out = b.iloc[s].assign(
+                    n_tokens=n + 1, n_known=np.bincount(owner, at >= 0, len(n)).astype(np.int64) + (lex.end_count > 0), base=np.bincount(owner, base[at], len(n)) + lex.end_base, inside=np.bincount(owner, inside[at], len(n)),
+                    tokens=[raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], tail=[[{"w": w, "k": kind_of(w), "n": k} for w, k in c.items()] for c in tails],
+                )
+                yield out
+
+    return saved(docs.select("row", "d", "held_out", "t").mapInPandas(run, "row long, d string, held_out boolean, n_tokens long, n_known long, base double, inside double, tokens binary, tail array<struct<w:binary,k:int,n:long>>"))
+
+
+def segments(tokens: DataFrame) -> DataFrame:
+    """Training segments: tokens (unsigned 16 bit), their number, and a hash of row and place. tokens: row, tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = 2 * SEGMENT
+        for b in batches:
+            rows = [(x[i : i + step], len(x[i : i + step]) // 2, zlib.crc32(b"%d %d" % (r, i))) for r, x in zip(b["row"], b["tokens"], strict=True) for i in range(0, len(x), step)]
+            yield pd.DataFrame(rows, columns=["tokens", "n", "h"])
+
+    return tokens.select("row", "tokens").mapInPandas(run, "tokens binary, n int, h long")
 
 
 def averaged(parts: DataFrame, replicas: int) -> np.ndarray:
@@ -174,8 +202,7 @@ def replica_round(shared, rate: float, seed: int, r: int):
 def train(parts: DataFrame, lex: Lexicon, seed: int = 0, rate: float = 6e-3) -> Gru:
     """Trains on each of segments() in one round: the first is one replica's alone, the other replicas' segments are all in the later ones."""
     model = Gru(lex.freq, seed=seed)
-    tokens = parts.agg(F.sum("n")).first()[0] or 0
-    replicas = max(4, -(-tokens // REPLICA))
+    replicas = max(4, -(-lex.total // REPLICA))
     turn = F.floor(F.col("h") / replicas)
     dealt = parts.withColumn("replica", F.pmod(F.col("h"), F.lit(replicas))).withColumn("round", F.when(F.col("replica") == 0, F.pmod(turn, F.lit(ROUNDS))).otherwise(1 + F.pmod(turn, F.lit(ROUNDS - 1))))
     context = parts.sparkSession.sparkContext
@@ -202,49 +229,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     """
     row = free_name(docs, "lm_row")
     d = with_row_number(docs, row).select(F.col(row).alias("row"), F.col(id_col).cast("string").alias("d"), (remainder(F.col(id_col), of) == held_out).alias("held_out"), F.col(text_col).alias("t"))
-    training = d.where(~F.col("held_out"))
-    counts = count_words(training.select("t"))
+    counts = count_words(d.where(~F.col("held_out")).select("t"))
     lex = Lexicon(counts)
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(lex)
-    parts = segments(training.select("d", "t"), shared)
-    model = train(parts, lex, seed)
-    drop_saved(parts)
-    weights = context.broadcast(model.get())
+    tokens = tokenized(d, shared)
+    model = train(segments(tokens.where(~F.col("held_out"))), lex, seed)
+    weights = context.broadcast((lex.freq, model.get()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex: Lexicon = shared.value
-        get = lex.index().get
-        own = Gru(lex.freq, seed=seed).put(weights.value)
+        freq, flat = weights.value
+        own = Gru(freq, seed=seed).put(flat)
         for b in batches:
-            t, tokens, rows = b.pop("t").fillna(""), [], []
-            for s in chunks(t):
-                for x in t.iloc[s]:
-                    words = words_of(x)
-                    at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                    head = at[at >= 0]
-                    toks = np.full(len(words) + 1, lex.end_token, np.uint16)
-                    toks[:-1][at >= 0] = lex.token[head]
-                    tail: Counter = Counter()
-                    for i in np.flatnonzero(at < 0).tolist():
-                        w = words[i]
-                        toks[i] = lex.kind_token[kind_of(w)]
-                        tail[w] += 1
-                    tokens.append(toks)
-                    rows.append((len(words) + 1, len(head) + (lex.end_count > 0), lex.base[head].sum() + lex.end_base, lex.inside[head].sum(), [{"w": w, "k": kind_of(w), "n": n} for w, n in tail.items()]))
-            ln10 = math.log(10)
-            out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "inside", "tail"], index=b.index)
-            out["model"] = own.score(tokens) / ln10
-            yield pd.concat([b, out], axis=1)
-
-    scored = saved(d.mapInPandas(run, "row long, d string, held_out boolean, n_tokens long, n_known long, base double, inside double, model double, tail array<struct<w:binary,k:int,n:long>>"))
-    rare = scored.select("row", F.explode("tail").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.k").alias("k"), F.col("x.n").alias("n"))
+            x = [np.frombuffer(t, "<u2") for t in b.pop("tokens")]
+            yield b.assign(model=own.score(x) / math.log(10))
+
+    plain = "row long, d string, held_out boolean, n_tokens long, n_known long, base double, inside double"
+    scored = tokens.drop("tail").mapInPandas(run, f"{plain}, model double")
+    rare = tokens.select("row", F.explode("tail").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.k").alias("k"), F.col("x.n").alias("n"))
     unit = F.element_at(F.array(*[F.lit(float(x)) for x in lex.kind_unit]), F.col("k") + 1)
     c = F.coalesce(F.col("c"), F.lit(0))
     found = rare.join(counts.select("word", F.col("n").alias("c")), F.col("w") == F.col("word"), "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(lex.unit)))).alias("rare_base"), F.sum(F.col("n") * F.log10((c + 1) / unit)).alias("rare")
     )
-    out = scored.drop("tail").join(found, "row", "left")
+    out = scored.join(found, "row", "left")
     zero = F.lit(0.0)
     return out.select(
         F.col("d").cast(docs.schema[id_col].dataType).alias("doc_id"), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"),

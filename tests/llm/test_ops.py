@@ -548,11 +548,10 @@ def test_extract_removes_what_hosts_repeat(spark, tmp_path):
 def test_gru_gradients_and_probabilities():
     r = np.random.default_rng(0)
     m = gru.Gru(np.array([9, 5, 3, 2, 1, 1, 1.0]), hidden=4, width=3, classes=3, seed=1)
-    for k in m.p:
-        m.p[k] = m.p[k] + r.standard_normal(m.p[k].shape).astype(np.float32) * 0.3
+    m.flat += r.standard_normal(m.flat.shape).astype(np.float32) * 0.3
     tokens, mask, h = r.integers(0, 7, (5, 3)), np.ones((5, 3), bool), np.zeros((3, 4), np.float32)
     mask[3:, 1] = False
-    _, g, _ = m.window(tokens, mask, h)
+    g = m._views(m.window(tokens, mask, h)[1], m.shapes)
     for k, v in m.p.items():
         flat = v.reshape(-1)
         for i in r.integers(0, v.size, 4):
@@ -571,7 +570,7 @@ def test_gru_gradients_and_probabilities():
         h, total = np.zeros((1, 4), np.float32), 0.0
         for t in d:
             total += m.log_prob(h, np.array([t]))[0]
-            h = m.step((m.p["emb"] @ m.p["wx"] + m.p["b"])[[t]], h)[0]
+            h = m.step(m.gates()[[t]], h)[0]
         assert math.isclose(s, total, rel_tol=1e-4)
     learner = gru.Gru(np.array([1, 1, 1, 1.0]), hidden=8, width=4, classes=2)
     seqs = [np.arange(i, i + 60) % 4 for i in range(64)]
@@ -624,12 +623,66 @@ def test_lm_training_is_one_pass_on_small_tables(spark, tmp_path, docs, monkeypa
 @pytest.mark.parametrize("between", list(" \t\n\v\f\r"))
 def test_lm_segments_are_whole_for_every_separator(spark, tmp_path, between):
     words = prose(3, 300).split()
-    texts = save(spark, tmp_path, [("1", between.join(words)), ("2", between.join(words[:256])), ("3", None)], "d string, t string")
-    lex = lm_score.Lexicon(lm_score.count_words(texts))
-    got = lm_score.segments(texts, spark.sparkContext.broadcast(lex)).collect()
+    texts = save(spark, tmp_path, [(1, "1", False, between.join(words)), (2, "2", False, between.join(words[:256])), (3, "3", False, None)], "row long, d string, held_out boolean, t string")
+    lex = lm_score.Lexicon(lm_score.count_words(texts.select("t")))
+    got = lm_score.segments(lm_score.tokenized(texts, spark.sparkContext.broadcast(lex))).collect()
     assert sorted(r.n for r in got) == [1, 1, 45, 128, 128, 128, 128]
 
 
+@pytest.mark.parametrize("head", [3, lm_score.HEAD])
+def test_lm_score_of_each_row_by_plain_steps(spark, tmp_path, docs, head, monkeypatch):
+    """Each word's probability: its token's, class by class, after the words before it, times its share of its kind."""
+    kept = {}
+    monkeypatch.setattr(lm_score.Lexicon.__init__, "__defaults__", (head, 40))
+    train = lm_score.train
+    monkeypatch.setattr(lm_score, "train", lambda parts, lex, seed: kept.setdefault("model", train(parts, lex, seed)))
+    got = lm_score.score(docs).collect()
+    m = kept["model"]
+    rows = docs.select("doc_id", "text").collect()
+    c, end = collections.Counter(), 0
+    for r in rows:
+        if zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 != 2:
+            c.update((r.text or "").encode().lower().split())
+            end += 1
+    known = sorted(c, key=lambda w: (-c[w], w))[: min(head, 40 - lm_score.KINDS - 1)]
+    if head == 3:  # ties at the head's edge are left out
+        known = [w for w in known if sum(n >= c[w] for n in c.values()) <= head]
+    tail_n, tail_words = collections.Counter(), collections.Counter()
+    for w, n in c.items():
+        if w not in known:
+            tail_n[lm_score.kind_of(w)] += n
+            tail_words[lm_score.kind_of(w)] += 1
+    names = [("kind", k) for k in range(lm_score.KINDS)] + [("end",)] + [("word", w) for w in known]
+    freq = [tail_n[k] for k in range(lm_score.KINDS)] + [end] + [c[w] for w in known]
+    order = sorted(range(len(names)), key=lambda i: -freq[i])
+    token = {names[i]: j for j, i in enumerate(order)}
+    assert [freq[i] for i in order] == m.freq.tolist()
+
+    def log_prob(h, t):
+        hs = np.append(h, 1)
+        top = hs @ m.p["wc"]
+        k = m.of[t]
+        inside = m.p["wo"][m.first[k] : m.first[k + 1]] @ hs
+        return top[k] - np.log(np.exp(top).sum()) + inside[t - m.first[k]] - np.log(np.exp(inside).sum())
+
+    want = []
+    for r in rows:
+        h, total = np.zeros(m.hidden), 0.0
+        for w in [*(r.text or "").encode().lower().split(), None]:
+            name, share = ("end",) if w is None else ("word", w) if w in known else ("kind", lm_score.kind_of(w)), 0.0
+            if name[0] == "kind":
+                share = math.log10((c[w] + 1) / (tail_n[name[1]] + tail_words[name[1]] + 1))
+            t = token[name]
+            total += log_prob(h, t) / math.log(10) + share
+            x = m.p["emb"][t] @ m.p["wx"][:-1] + m.p["wx"][-1]
+            n, s = m.hidden, h @ m.p["wh"]
+            z, g = (1 / (1 + np.exp(-(x[i * n : i * n + n] + s[i * n : i * n + n]))) for i in (0, 1))
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + g * s[2 * n :])
+        want.append((-1 if r.doc_id is None else r.doc_id, total))
+    for (d, s), (e, u) in zip(sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in got), sorted(want), strict=True):
+        assert d == e and math.isclose(s, u, rel_tol=2e-4, abs_tol=1e-3)
+
+
 def test_lm_score_of_nothing(spark, tmp_path):
     e = empty(spark, tmp_path)
     assert lm_score.score(e).count() == 0
