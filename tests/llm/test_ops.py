@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import html
 import json
 import math
 import random
@@ -514,37 +513,105 @@ def test_warc_round_trip(spark, tmp_path):
 PAGE = '<!DOCTYPE html><html><head><title>T</title><style>p{x:"</p>"}</style><script>var t="</p><article>";</script></head><body><nav><ul><li><a href="/a">menu</a></li></ul></nav><!-- <p>no</p> --><div class="ad">buy</div><article><h1>Head &amp; more</h1><p><b>One  two.<br><p>Three&nbsp;<i>fo</i>ur &lt;x&gt;</p><aside>side</aside><div class="comments"><p>mine</p></div><form>f<input>g</form><p>five</article><footer>&copy; foot</footer></body>'
 
 
-def test_blocks_of_pages():
-    assert html_extract.blocks(PAGE) == (["Head & more", "One two.", "Three four <x>", "five"], True)
-    assert html_extract.blocks("") == ([], False)
-    assert html_extract.blocks("<p>a<p>b<div>c</div>d") == (["a", "b", "c", "d"], False)
-    assert html_extract.blocks("<article>cut off <b>he")[0] == ["cut off he"]
-    assert html_extract.blocks("a < b <p title='x>y'>c")[0] == ["a < b", "c"]
-    assert html_extract.blocks("<div>x" * 3000)[0] == ["x"] * 3000
+def kept_text(page):
+    return [t for place, t in html_extract.blocks(page) if place != "e"]
 
 
-def test_extract_removes_what_hosts_repeat(spark, tmp_path):
+def test_blocks_of_pages():
+    assert [t for place, t in html_extract.blocks(PAGE) if place == "m"] == ["Head & more", "One two.", "Three four <x>", "five"]
+    assert html_extract.blocks("") == []
+    assert html_extract.blocks("<p>a<p>b<div>c</div>d") == [("l", "a"), ("l", "b"), ("l", "c"), ("l", "d")]
+    assert kept_text("<article>cut off <b>he") == ["cut off he"]
+    assert kept_text("a < b <p title='x>y'>c") == ["a < b", "c"]
+    assert kept_text("<div>x" * 3000) == ["x"] * 3000
+    for own in ('<p class="share-price">t</p>', '<p class="notice-board">t</p>', '<div class="related-work">t</div>', '<section id="ad-hoc">t</section>', "<article><header><h1>t</h1></header></article>", '<p data-id="comment">t</p>', '<article class="header">t</article>'):
+        assert kept_text(own) == ["t"], own
+    for own in ("title-card", "style-guide", "script-x", "template-x"):
+        assert kept_text(f"<{own}>a</{own}><p>rest of the page</p>") == ["a", "rest of the page"]
+    for other in ('<div class="ad">t</div>', '<div class="cookie-notice">t</div>', '<ul id="reader-comments">t</ul>', '<div class="left-sidebar">t</div>', "<footer>t</footer>", "<article><footer>t</footer></article>", "<form>t</form>", '<div role="navigation">t</div>', "<p hidden>t</p>"):
+        assert kept_text(other) == [], other
+
+
+def test_nesting_costs_no_more_than_its_depth():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html_extract.blocks("<div><span>x" * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(32000) < 32 * max(took(4000), 0.02)
+
+
+def brute_extract(rows, depth, share, least):
+    """Texts by counting every run of depth tokens over the distinct streams of each host."""
+    pages = {i: html_extract.blocks(h or "") for i, (_, _, h, *_rest) in enumerate(rows)}
+    host = {i: (re.search("://([^/?#]*)", rows[i][1] or "") or [None, ""])[1].lower() for i in pages}
+    streams = {i: " ".join(t for place, t in pages[i] if place != "m").split() for i in pages}
+    by_host = collections.defaultdict(set)
+    for i, s in streams.items():
+        if s:
+            by_host[host[i]].add(("\n".join(t for place, t in pages[i] if place != "m"), tuple(s)))
+    out = {}
+    for i, blocks in pages.items():
+        own = [s for _, s in by_host[host[i]]]
+        n = collections.Counter(g for s in own for g in {s[k : k + depth] for k in range(len(s) - depth + 1)})
+        need = max(least, math.ceil(share * len(own)))
+        t = tuple(streams[i])
+        gone = {k + j for k in range(len(t) - depth + 1) if n[t[k : k + depth]] >= need for j in range(depth)}
+        at, left = 0, []
+        for place, text in blocks:
+            words = text.split() if place != "m" else []
+            if place == "l":
+                text = " ".join(w for k, w in enumerate(words) if at + k not in gone)
+            if place != "e" and text:
+                left.append(text)
+            at += len(words)
+        out[i] = "\n".join(left)
+    return out
+
+
+@pytest.mark.parametrize("chunk", [40, 1 << 20])
+def test_extract_removes_what_hosts_repeat(spark, tmp_path, chunk):
     line = "this very long line is found on every page of the host"
-    rows = [(i, f"http://h/{i}", f"<body><div>{line}</div><p>{prose(i, 12)}</p><div>{line} again</div></body>", None, None) for i in range(6)]
-    rows += [(10, "http://other/", f"<body><p>{line}</p></body>", None, None), (11, "http://h/x", f"<article><p>{line}</p></article>", None, None), (12, None, None, "x", "y"), (13, "http://h/", "", None, None), (None, "bad", PAGE, None, None)]
+    shared = prose(500, 30)
+    rows = [(i, f"http://h/{i}", f"<body><div>{line}</div><p>{prose(i, 12)}</p><p>{shared if i % 5 == 0 else prose(90 + i, 9)}</p><nav>{shared if i == 3 else prose(i % 2, 12)}</nav><div>{line} again</div></body>", None, None) for i in range(12)]
+    rows += [(20 + i, "http://copies/", f"<p>{prose(600, 40)}</p>", None, None) for i in range(5)]  # copies are one page
+    rows += [(30 + i, "http://two/", f"<p>{prose(601, 40)} {i}</p>", None, None) for i in range(2)]  # two pages are too few
+    rows += [(10, "http://other/", f"<body><p>{line}</p></body>", None, None), (11, "http://h/x", f"<article><p>{line}</p></article>", None, None), (12, None, None, "x", "y"), (13, "http://h/", "", None, None), (None, "broken", PAGE, "x", None)]
     df = save(spark, tmp_path, rows, PAGES)
-    got = {r.page_id: r for r in html_extract.extract(df).collect()}
-    assert len(got) == len(rows)
-    streams = {i: html_extract.blocks(rows[i][2])[0] for i in range(6)}
-    for i in range(6):  # brute force over all substrings of DEPTH tokens
-        def grams(j):
-            t = " ".join(streams[j]).split(" ")
-            return {tuple(t[k : k + html_extract.DEPTH]) for k in range(len(t) - html_extract.DEPTH + 1)}
-
-        others = set().union(*(grams(j) for j in range(6) if j != i))
-        t = " ".join(streams[i]).split(" ")
-        gone = {k + m for k in range(len(t) - html_extract.DEPTH + 1) if tuple(t[k : k + html_extract.DEPTH]) in others for m in range(html_extract.DEPTH)}
-        assert got[i].text.split() == [w for k, w in enumerate(t) if k not in gone]
-    assert got[10].text == line and got[11].text == line and got[12].text == "" and got[13].text == "" and got[None].text.startswith(html.unescape("Head &amp; more"))
-    assert all(r.n_chars == len(r.text) for r in got.values())
+    got = collections.Counter((r.page_id, r.text) for r in html_extract.extract(df, chunk=chunk).collect())
+    want = brute_extract(rows, html_extract.DEPTH, html_extract.SHARE, html_extract.PAGES)
+    assert got == collections.Counter((rows[i][0], t) for i, t in want.items())
+    texts = {rows[i][0]: t for i, t in want.items()}
+    assert line not in texts[0] and shared not in texts[0] and texts[10] == line and texts[11] == line and texts[12] == "" and texts[13] == "" and texts[20] == prose(600, 40) and texts[31].endswith(" 1")
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_extract_of_a_whole_table_is_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    want = brute_extract(rows, html_extract.DEPTH, html_extract.SHARE, html_extract.PAGES)
+    got = queries.op2_host_suffix_array(spark, sf).collect()
+    assert {(r.page_id, r.url, r.text, r.n_chars) for r in got} == {(rows[i][0], rows[i][1], t, len(t)) for i, t in want.items()}
+
+
+def test_suffix_classes_are_the_sorted_prefixes():
+    r = random.Random(3)
+    for depth in (1, 2, 3, 8):
+        streams = [[r.choice("abc") for _ in range(r.randrange(25))] for _ in range(9)]
+        order, page, first = html_extract.suffix_classes(streams, depth)
+        starts = np.cumsum([0] + [len(s) + 1 for s in streams])
+        prefixes = [tuple(streams[p][o - starts[p] : o - starts[p] + depth]) for o, p in zip(order, page, strict=True)]
+        every = collections.Counter(tuple(s[i : i + depth]) for s in streams for i in range(len(s) - depth + 1))
+        assert collections.Counter(prefixes) == every
+        assert [prefixes[i] for i in first] == list(dict.fromkeys(prefixes)) and len(first) == len(every)
+        for least in (1, 2, 4):
+            want = {html_extract.run_key(list(g)) for g in every if sum(any(tuple(s[i : i + depth]) == g for i in range(len(s) - depth + 1)) for s in streams) >= least}
+            assert set(html_extract.candidate_runs(streams, least, depth)) == want
+
+
 def test_gru_gradients_and_probabilities():
     r = np.random.default_rng(0)
     m = gru.Gru(np.array([9, 5, 3, 2, 1, 1, 1.0]), hidden=4, width=3, classes=3, seed=1)
