@@ -1,13 +1,16 @@
 """Nearest neighbours by learned partitions.
 
-From a bounded sample a graph of nearest neighbours is made and cut into equal parts with few edges across; a small
-network learns which parts hold the neighbours of a vector. Every row of the table is put into its most probable part; a
-query is routed to as many of its most probable parts as held-out rows of the sample need, and their rows are ranked by
-exact distance. Rows of a part lie in blocks of bounded size, queries in chunks, and pairs of these are compared.
+From a bounded sample of a node's rows a graph of nearest neighbours is made and cut into equal parts with few edges
+across; a small network learns which parts hold the neighbours of a vector. Every row of the node goes into its most
+probable part; a query is routed to as many of its most probable parts as held-out rows of the sample need. The table is
+the first node; parts with more than LEAF rows are nodes of their own, split in the same way by a network of their own,
+so the number of parts follows the rows. Rows of the last parts are ranked by exact distance: rows lie in blocks of
+bounded size, queries in chunks, and pairs of these are compared.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,17 +21,22 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, drop_saved, free_name, saved, with_row_number
 from .vectors import matrix, valid_vectors
 
-#: Rows that the model is fit on at most (those with the smallest hash), and of them the queries that set the number of parts to probe.
+#: Rows that a node's model is fit on, about, and of them the queries that set the number of parts to probe.
 SAMPLE, HELD_OUT = 8192, 512
-#: Rows of the sample for each part; parts at most; rows in a block; queries in a chunk.
-ROWS_PER_PART, MAX_PARTS, BLOCK, CHUNK = 256, 32, 1024, 256
+#: Rows of the sample for each part; parts of a node; rows of a part that is split again; rows in a block; queries in a chunk.
+ROWS_PER_PART, FAN, LEAF, BLOCK, CHUNK = 256, 32, 1 << 14, 1024, 256
 #: Share of the held-out rows' neighbours in the sample that the probed parts must hold.
-COVER = 0.97
+COVER = 0.98
+#: Largest components beyond which squares are taken of scaled vectors.
+LARGE, SMALL = 1e140, 1e-140
 
 
 def knn(x: np.ndarray, q: np.ndarray, k: int, skip_self: bool) -> np.ndarray:
     """Indices of the k nearest rows of x for each row of q."""
+    k = min(k, len(x) - skip_self)
     out = np.empty((len(q), k), np.int64)
+    if not k:
+        return out
     xx = (x * x).sum(1)
     for s in range(0, len(q), 512):
         d = xx[None, :] - 2 * q[s : s + 512] @ x.T
@@ -104,23 +112,37 @@ class Router:
         return self._forward(x)[2]
 
 
-def fit(x: np.ndarray, k: int, seed: int = 0) -> tuple[Router | None, int, int]:
-    """Router, number of parts and parts to probe, from the sample's vectors."""
-    parts = 1
-    while parts < MAX_PARTS and len(x) >= 2 * parts * ROWS_PER_PART:
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, mean=self.mean, scale=self.scale, **{f"w{i}": w.astype(np.float32) for i, w in enumerate(self.w)})
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> Router:
+        self, z = cls.__new__(cls), np.load(io.BytesIO(data))
+        self.mean, self.scale, self.w = z["mean"], float(z["scale"]), [z[f"w{i}"].astype(float) for i in range(4)]
+        return self
+
+
+def fit(x: np.ndarray, k: int, seed: int = 0) -> tuple[Router, int, int]:
+    """Router, number of parts (two at least) and parts to probe, from a sample's vectors."""
+    parts = 2
+    while parts < FAN and len(x) >= 2 * parts * ROWS_PER_PART:
         parts *= 2
-    if parts == 1:
-        return None, 1, 1
+    unit = max(1e-300, float(np.abs(x).max(initial=0)))
+    x = x / unit  # no overflow in squares
     held = min(HELD_OUT, len(x) // 8)
     q, x = x[:held], x[held:]
     near = knn(x, x, k, True)
     part = balanced_cut(x, near, parts)
     target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), k), part[near].ravel()), 1.0 / (k + 1))
-    target[np.arange(len(x)), part] += 1.0 / (k + 1)
+    np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1.0 / (near.shape[1] + 1))
+    target[np.arange(len(x)), part] += 1.0 / (near.shape[1] + 1)
     router = Router(x, target, seed=seed)
-    assigned = router(x).argmax(1)
-    order = np.argsort(-router(q), axis=1, kind="stable")
+    assigned, order = router(x).argmax(1), np.argsort(-router(q), axis=1, kind="stable")
+    router.mean, router.scale = router.mean * unit, router.scale * unit
+    if not held:
+        return router, parts, parts
     place = np.empty_like(order)
     place[np.arange(held)[:, None], order] = np.arange(parts)
     rank = np.take_along_axis(place, assigned[knn(x, q, k, False)], axis=1)
@@ -128,88 +150,151 @@ def fit(x: np.ndarray, k: int, seed: int = 0) -> tuple[Router | None, int, int]:
     return router, parts, probes
 
 
-def blocks_of(df: DataFrame, part: str, size: int, counts: DataFrame) -> DataFrame:
-    """Rows of df packed by part into blocks of about size rows: part, salt, dim, rows, ids, vecs. counts: part, n of df."""
-    salted = df.join(broadcast_if_small(counts.select(F.col("part").alias("_p"), F.ceil(F.col("n") / size).alias("_b"))), F.col(part) == F.col("_p")).withColumn("salt", F.pmod(F.xxhash64("row"), "_b").cast("int"))
+def blocks_of(df: DataFrame, size: int, counts: DataFrame) -> DataFrame:
+    """Rows of df packed by node into blocks of about size rows: node, salt, rows, ids, vecs (joined). counts: node, n of df."""
+    salted = df.join(broadcast_if_small(counts.select(F.col("node").alias("cn"), F.ceil(F.col("n") / size).alias("b"))), F.col("node") == F.col("cn")).withColumn("salt", F.pmod(F.xxhash64("row"), "b").cast("int"))
+    # a group's lists are of the same rows in the same order; a block is bounded by its size
+    return saved(salted.groupBy("node", "salt").agg(F.collect_list("row").alias("rows"), F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs")))
+
+
+def counts_of(df: DataFrame) -> DataFrame:
+    return saved(df.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+
 
-    def pack(b: pd.DataFrame) -> pd.DataFrame:
+def routers_of(rows: DataFrame, nodes: DataFrame, dim: int, k: int, seed: int, sample: int) -> DataFrame:
+    """node, router, parts, probes for each of nodes (node, n); each is fit in a task of its own on about sample of its rows."""
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
+    draw = F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(1 << 30)) / float(1 << 30)
+    some = rows.join(broadcast_if_small(nodes.select(F.col("node").alias("nn"), "n")), F.col("node") == F.col("nn")).where(draw < share).select("node", "row", "vec")
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("row")
-        return pd.DataFrame({"part": [b[part].iloc[0]], "salt": [b["salt"].iloc[0]], "dim": [b["dim"].iloc[0]], "rows": [b["row"].to_numpy("<i8").tobytes()], "ids": [b["id"].to_numpy("<i8").tobytes()], "vecs": [b"".join(b["vec"])]})
+        order = np.random.default_rng(seed).permutation(len(b))
+        router, parts, probes = fit(matrix(b"".join(b["vec"]), dim)[order], k, seed)
+        return pd.DataFrame({"node": [b["node"].iloc[0]], "router": [router.dump()], "parts": [parts], "probes": [probes]})
+
+    return saved(some.groupBy("node").applyInPandas(run, "node long, router binary, parts int, probes int"))
+
+
+def flat_rows(r, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(r.rows, np.int64), np.asarray(r.ids, np.int64), matrix(b"".join(r.vecs), dim)
+
 
-    return saved(salted.select(part, "salt", "row", "id", "dim", "vec").groupBy(part, "salt").applyInPandas(pack, "part int, salt int, dim int, rows binary, ids binary, vecs binary"))
+ROWS = "row long, id long, vec binary, node long"
 
 
-def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0, sample: int = SAMPLE) -> DataFrame:
+def deeper(rows: DataFrame, counts: DataFrame, routers: DataFrame, dim: int, queries: bool, k: int) -> DataFrame:
+    """rows (row, id, vec, node) in the parts of their nodes: rows each in the most probable one, queries in as many as the node probes.
+
+    A query's parts hold more than k rows if the node does. routers have for queries also sizes, the rows of each part.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for r in p.itertuples(index=False):
+                row, ids, x = flat_rows(r, dim)
+                prob = Router.load(r.router)(x)
+                if queries:
+                    order = np.argsort(-prob, axis=1, kind="stable")
+                    held = np.cumsum(np.asarray(r.sizes, np.int64)[order], axis=1)
+                    need = np.maximum(r.probes, 1 + (held < k + 1).sum(1)).clip(max=r.parts)
+                    at, part = np.repeat(np.arange(len(x)), need), np.concatenate([o[:m] for o, m in zip(order, need, strict=True)])
+                else:
+                    at, part = np.arange(len(x)), prob.argmax(1)
+                vecs = list(r.vecs)
+                yield pd.DataFrame({"row": row[at], "id": ids[at], "vec": [vecs[i] for i in at], "node": r.node * (FAN + 1) + 1 + part.astype(np.int64)})
+
+    blocks = blocks_of(rows, BLOCK, counts).join(broadcast_if_small(routers.withColumnRenamed("node", "rn")), F.col("node") == F.col("rn"))
+    return saved(blocks.select("node", "rows", "ids", "vecs", "router", "parts", "probes", *(["sizes"] if queries else [])).mapInPandas(run, ROWS))
+
+
+def search(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 0, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each row of df where is_query holds, itself left out.
 
     score: Euclidean distance in double precision; ties go to the smaller id. Vectors that are null, empty, zero or hold
     null or non-finite components take no part, nor do rows with a null id or a length other than that of most rows (of
-    equally common lengths the smallest). A repeated row is a candidate of its own. With few rows (under twice
-    ROWS_PER_PART in the sample) there is one part, and the result is exact. Other columns are ignored. Without queries
-    or candidates there are no rows.
+    equally common lengths the smallest). A repeated row is a candidate of its own; of equal vectors only the k + 1 with
+    the smallest ids can be among the nearest, so no more are indexed. Vectors so large or small that squares leave the
+    range of doubles are scaled by a power of two first. With fewer than k candidates all are found. Other columns are
+    ignored, whatever their names. Without queries or candidates there are no rows.
     """
     spark = df.sparkSession
     row, mark = free_name(df, "vec_row"), free_name(df, "vec_query")
     d = with_row_number(df, row).withColumn(mark, F.coalesce(is_query, F.lit(False))).where(F.col(id_col).isNotNull())
-    vecs = valid_vectors(d, row, vec_col, {id_col: "id", mark: "query"}).select("row", F.col("id").cast("long").alias("id"), (F.col("query") == "true").alias("query"), "dim", "vec")
-    vecs = saved(vecs)
+    vecs = saved(valid_vectors(d, row, vec_col, {id_col: "id", mark: "query"}).select("row", F.col("id").cast("long").alias("id"), (F.col("query") == "true").alias("query"), "dim", "vec"))
     top = vecs.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if top is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = top.dim
     usable = vecs.where(F.col("dim") == dim)
-    x = [np.frombuffer(r.vec, "<f8") for r in usable.select("row", "vec").orderBy(F.xxhash64(F.lit(seed), "row"), "row").limit(sample).collect()]
-    router, parts, probes = fit(np.array(x), k, seed)
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = router(matrix(b"".join(b["vec"]), dim)).argmax(1) if router and len(b) else np.zeros(len(b))
-            yield b.assign(part=p.astype(np.int32))
-
-    placed = saved(usable.mapInPandas(assign, "row long, id long, query boolean, dim int, vec binary, part int"))
-    counts = saved(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")))  # a row for each part
-    n_of = np.zeros(parts, np.int64)
-    for r in counts.collect():
-        n_of[r.part] = r.n
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            prob = router(matrix(b"".join(b["vec"]), dim)) if router else np.ones((len(b), 1))
-            order = np.argsort(-prob, axis=1, kind="stable")
-            held = np.cumsum(n_of[order], axis=1)
-            need = np.maximum(probes, 1 + (held < k + 1).sum(1)).clip(max=parts)  # enough rows, even in small parts
-            at = np.repeat(np.arange(len(b)), need)
-            yield b.iloc[at].assign(part=np.concatenate([o[:m] for o, m in zip(order, need, strict=True)]).astype(np.int32))
-
-    routed = saved(placed.where("query").select("row", "id", "dim", "vec").mapInPandas(route, "row long, id long, dim int, vec binary, part int"))
-    data = blocks_of(placed, "part", BLOCK, counts)
-    asked = blocks_of(routed, "part", CHUNK, saved(routed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))))
-    pairs = data.select("part", F.col("salt").alias("a")).join(asked.select("part", F.col("salt").alias("b")), "part")
-    side = lambda t, s: t.select("part", F.col("salt").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("rows", "ids", "vecs")])
-    both = pairs.join(side(data, "a"), ["part", "a"]).join(side(asked, "b"), ["part", "b"])
+    copy = F.row_number().over(Window.partitionBy("vec").orderBy("id", "row"))
+    root = lambda x: x.select("row", "id", "vec", F.lit(0).cast("long").alias("node"))
+    rows = saved(root(usable.withColumn("copy", copy).where(F.col("copy") <= k + 1)))
+    asked = saved(root(usable.where("query")))
+    counts = counts_of(rows)
+    done_rows, done_asked, first = [], [], True
+    while True:
+        large = counts if first else counts.where(F.col("n") > leaf)
+        if not large.limit(1).count():
+            break
+        routers = routers_of(rows, large, dim, k, seed, sample)
+        nodes = large.select(F.col("node").alias("ln"))
+        part_of = lambda x: x.join(broadcast_if_small(nodes), F.col("node") == F.col("ln"), "left_semi")
+        if not first:
+            rest = broadcast_if_small(nodes)
+            done_rows.append(rows.join(rest, F.col("node") == F.col("ln"), "left_anti"))
+            done_asked.append(asked.join(rest, F.col("node") == F.col("ln"), "left_anti"))
+        rows, first = deeper(part_of(rows), large, routers, dim, False, k), False
+        after = counts_of(rows)
+        parent = F.floor((F.col("node") - 1) / (FAN + 1)).cast("long")
+        each = after.select(parent.alias("up"), F.pmod(F.col("node") - 1, F.lit(FAN + 1)).alias("part"), "n").groupBy("up").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("of"))
+        sizes = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.coalesce(F.try_element_at("of", i.cast("long")), F.lit(0)))
+        routers = saved(routers.join(each, F.col("node") == F.col("up")).withColumn("sizes", sizes).drop("up", "of"))
+        mine = part_of(asked)
+        asked = deeper(mine, counts_of(mine), routers, dim, True, k)
+        # a node whose rows all went to one part is not split again: its vectors are too much alike
+        stuck = after.join(large.select(F.col("node").alias("pn"), F.col("n").alias("before")), parent == F.col("pn")).where(F.col("n") > 0.9 * F.col("before")).select(F.col("node").alias("sn"))
+        counts = saved(after.join(stuck, F.col("node") == F.col("sn"), "left_anti"))
+    data, queries = rows, asked
+    for x in done_rows:
+        data = data.union(x)
+    for x in done_asked:
+        queries = queries.union(x)
+    data, queries = (blocks_of(x, size, counts_of(x)) for x, size in ((data, BLOCK), (queries, CHUNK)))
+    pairs = data.select("node", F.col("salt").alias("a")).join(queries.select("node", F.col("salt").alias("b")), "node")
+    side = lambda t, s: t.select("node", F.col("salt").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("rows", "ids", "vecs")])
+    both = pairs.join(side(data, "a"), ["node", "a"]).join(side(queries, "b"), ["node", "b"])
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             for r in p.itertuples(index=False):
-                x, q = matrix(r.vecs_a, dim), matrix(r.vecs_b, dim)
-                rows, ids = np.frombuffer(r.rows_a, "<i8"), np.frombuffer(r.ids_a, "<i8")
-                q_rows, q_ids = np.frombuffer(r.rows_b, "<i8"), np.frombuffer(r.ids_b, "<i8")
-                xx, qq = (x * x).sum(1), (q * q).sum(1)
-                rough = xx[None, :] + qq[:, None] - 2 * q @ x.T
-                rough[q_rows[:, None] == rows[None, :]] = np.inf
-                margin = 1e-12 * (qq[:, None] + xx.max())
-                kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1 : min(k, len(x))]
-                i, j = np.nonzero((rough <= kth + margin) & np.isfinite(rough))
-                exact = np.sqrt(((q[i] - x[j]) ** 2).sum(1))
-                order = np.lexsort((ids[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                ok = place < k
-                yield pd.DataFrame({"q_row": q_rows[i[ok]], "query_id": q_ids[i[ok]], "vec_id": ids[j[ok]], "row": rows[j[ok]], "score": exact[ok]})
+                x, q = matrix(b"".join(r.vecs_a), dim), matrix(b"".join(r.vecs_b), dim)
+                rows, ids = np.asarray(r.rows_a, np.int64), np.asarray(r.ids_a, np.int64)
+                q_rows, q_ids = np.asarray(r.rows_b, np.int64), np.asarray(r.ids_b, np.int64)
+                yield nearest(x, rows, ids, q, q_rows, q_ids, k)
 
     found = both.select("rows_a", "ids_a", "vecs_a", "rows_b", "ids_b", "vecs_b").mapInPandas(rank, "q_row long, query_id long, vec_id long, row long, score double")
     best = F.row_number().over(Window.partitionBy("q_row").orderBy("score", "vec_id", "row"))
     drop_saved(vecs)
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(x: np.ndarray, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, q_rows: np.ndarray, q_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of x for each row of q by exact distance, ties to smaller ids."""
+    most = max(np.abs(x).max(), np.abs(q).max())
+    unit = 1.0
+    if most > LARGE or most < SMALL:  # a power of two: scaling is exact
+        unit = 2.0 ** np.floor(np.log2(most))
+        x, q = x / unit, q / unit
+    xx, qq = (x * x).sum(1), (q * q).sum(1)
+    rough = xx[None, :] + qq[:, None] - 2 * q @ x.T
+    rough[q_rows[:, None] == rows[None, :]] = np.inf
+    margin = 1e-12 * (qq[:, None] + xx.max())
+    kth = np.partition(rough, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1 : min(k, len(x))]
+    i, j = np.nonzero((rough <= kth + margin) & np.isfinite(rough))
+    exact = np.sqrt(((q[i] - x[j]) ** 2).sum(1)) * unit
+    order = np.lexsort((ids[j], exact, i))
+    i, j, exact = i[order], j[order], exact[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    ok = place < k
+    return pd.DataFrame({"q_row": q_rows[i[ok]], "query_id": q_ids[i[ok]], "vec_id": ids[j[ok]], "row": rows[j[ok]], "score": exact[ok]})

@@ -289,11 +289,51 @@ def test_search_recall_and_distances(spark, tmp_path):
         d[q] = np.inf
         hits += len({g.vec_id for g in own} & set(np.argsort(d)[:10].tolist()))
     assert hits >= 0.9 * 300
-    few = ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
-    assert len(few) == 3
+    for n in (1, 2, 3, 4, 9):
+        few = ann.search(df.where(f"vec_id < {n}"), F.col("vec_id") == 0).collect()
+        assert sorted(g.vec_id for g in few) == list(range(1, n)) and sorted(g["rank"] for g in few) == list(range(1, n))
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def recall(spark, folder, **options):
+    df = spark.read.parquet(f"{folder}/embeddings.parquet")
+    got = collections.defaultdict(set)
+    for g in ann.search(df, F.col("vec_id") % 100 == 0, **options).collect():
+        got[g.query_id].add(g.vec_id)
+    rows = [r for r in df.collect() if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    hits = total = 0
+    for i in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        best = set(ids[np.lexsort((ids, d))[:10]].tolist())
+        hits, total = hits + len(best & got[ids[i]]), total + len(best)
+    return hits / total
+
+
+@pytest.mark.parametrize("options", [{}, {"leaf": 60, "sample": 200}])
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_search_recall_on_whole_tables(spark, table, options):
+    """Also with parts so small that nodes are split twice and more."""
+    assert recall(spark, f"/root/testdata/{table}", **options) >= 0.9
+
+
+def test_search_of_copies_and_extreme_vectors(spark, tmp_path):
+    r = np.random.default_rng(5)
+    x = [*(r.normal(size=(60, 4)) * 1e200), *[np.full(4, 3e200)] * 300, *[np.full(4, 1e-200)] * 3]
+    rows = [(i, v.tolist(), "clash", "clash") for i, v in enumerate(x)]
+    df = save(spark, tmp_path, rows, "vec_id long, embedding array<double>, node string, vec string")
+    got = collections.defaultdict(list)
+    for g in ann.search(df, F.col("vec_id").isin(0, 100, 200, 361), leaf=50, sample=64).collect():
+        got[g.query_id].append((g["rank"], g.vec_id, g.score))
+    assert [v for _, v, _ in sorted(got[100])] == list(range(60, 70)) and {s for _, _, s in got[100]} == {0.0}
+    assert [v for _, v, _ in sorted(got[200])] == list(range(60, 70))
+    for q in (0, 361):
+        for _, v, s in got[q]:
+            assert math.isclose(s, float(np.sqrt((((x[q] - x[v]) / 1e200) ** 2).sum()) * 1e200), rel_tol=1e-9) or s < 1e-190
+        assert len(got[q]) == 10
+
+
 def test_balanced_cut_is_balanced_and_cuts_less_than_chance():
     r = np.random.default_rng(0)
     x = r.normal(size=(1024, 8))
