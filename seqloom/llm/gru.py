@@ -12,7 +12,12 @@ def classes_by_mass(freq: np.ndarray, classes: int) -> np.ndarray:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """By tanh, in place of x: a third of the time of exp and a division."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 class Gru:
@@ -77,7 +82,7 @@ class Gru:
         Returns order, states in it, classes with the rows of each, logits, begin of each token's run and length.
         """
         of = self.of[tokens]
-        order = np.argsort(of, kind="stable")
+        order = np.argsort(of.astype(np.uint16), kind="stable")  # by radix
         ends = np.searchsorted(of[order], np.arange(len(self.first)))
         x, width = hs[order], self.size[of[order]]
         begin = np.cumsum(width) - width
@@ -93,8 +98,7 @@ class Gru:
     def log_prob(self, h: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Natural log probability of each token given the state before it."""
         hs = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1)
-        a = hs @ self.p["wc"]
-        a -= a.max(axis=1, keepdims=True)
+        a = np.clip(hs @ self.p["wc"], -80, 80)
         out = a[np.arange(len(a)), self.of[tokens]] - np.log(np.exp(a).sum(axis=1))
         order, _, _, logits, begin, width = self._inside(hs, tokens)
         if len(logits):
@@ -139,8 +143,8 @@ class Gru:
         """Loss, gradient (one array, as the weights) and last state of one window (steps x lanes); nothing is propagated before its start."""
         p, n, (steps, lanes) = self.p, self.hidden, tokens.shape
         whole = [bool(m.all()) for m in mask]
-        seen, at = np.unique(tokens.ravel(), return_inverse=True)
-        x = (p["emb"][seen] @ p["wx"][:-1] + p["wx"][-1])[at].reshape(steps, lanes, 3 * n)
+        e = p["emb"][tokens.ravel()]
+        x = (e @ p["wx"][:-1] + p["wx"][-1]).reshape(steps, lanes, 3 * n)
         keep, before = [], np.ones((steps, lanes, n + 1), np.float32)
         for i in range(steps):
             before[i, :, :n] = h
@@ -151,8 +155,9 @@ class Gru:
         w, hs = tokens.ravel()[live], before.reshape(-1, n + 1)[live]
         count, rows = max(1, len(w)), np.arange(len(w))
         a = hs @ p["wc"]
-        a = np.exp(a - a.max(axis=1, keepdims=True))
-        a /= a.sum(axis=1, keepdims=True)
+        np.clip(a, -80, 80, out=a)
+        np.exp(a, out=a)
+        a *= 1 / a.sum(axis=1, keepdims=True)
         loss = -np.log(a[rows, self.of[w]] + 1e-30).sum()
         a[rows, self.of[w]] -= 1
         flat = np.zeros_like(self.flat)
@@ -169,9 +174,9 @@ class Gru:
             o[own] -= 1
             back = np.empty((len(w), n), np.float32)
             for lo, hi, first, last, place in parts:
-                e = o[place : place + (hi - lo) * (last - first)].reshape(hi - lo, last - first)
-                np.matmul(e.T, xs[lo:hi], out=g["wo"][first:last])
-                np.matmul(e, p["wo"][first:last, :n], out=back[lo:hi])
+                f = o[place : place + (hi - lo) * (last - first)].reshape(hi - lo, last - first)
+                np.matmul(f.T, xs[lo:hi], out=g["wo"][first:last])
+                np.matmul(f, p["wo"][first:last, :n], out=back[lo:hi])
             dh[order] += back
         d_before = dh.reshape(steps, lanes, n) if all(whole) else np.zeros((steps * lanes, n), np.float32)
         if not all(whole):
@@ -194,13 +199,14 @@ class Gru:
             through = d * z if whole[i] else np.where(mask[i][:, None], d * z, back)
             back = through + ds[i] @ wh + d_before[i]
         np.matmul(before.reshape(-1, n + 1)[:, :n].T, ds.reshape(-1, 3 * n), out=g["wh"])
-        # the input's share: sums over equal tokens first
-        by_token = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at.ravel()[by_token], np.arange(len(seen)))
-        summed = np.add.reduceat(dx.reshape(-1, 3 * n)[by_token], edges, axis=0)
-        np.matmul(p["emb"][seen].T, summed, out=g["wx"][:-1])
-        g["wx"][-1] = summed.sum(axis=0)
-        g["emb"][seen] = summed @ p["wx"][:-1].T
+        # the input's share
+        dx = dx.reshape(-1, 3 * n)
+        np.matmul(e.T, dx, out=g["wx"][:-1])
+        g["wx"][-1] = dx.sum(axis=0)
+        by_token = np.argsort(tokens.ravel().astype(np.uint16), kind="stable")
+        t = tokens.ravel()[by_token]
+        edges = np.flatnonzero(np.diff(t, prepend=-1))
+        g["emb"][t[edges]] = np.add.reduceat((dx @ p["wx"][:-1].T)[by_token], edges, axis=0)
         flat /= count
         return float(loss) / count, flat, h
 

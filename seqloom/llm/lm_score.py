@@ -31,19 +31,28 @@ HEAD, LONG, VOCABULARY = 1 << 18, 64, 4096
 #: Tokens in a training segment; tokens that a replica sees in all rounds; rounds.
 SEGMENT, REPLICA, ROUNDS = 128, 1 << 21, 3
 #: Words counted in a worker before counts are handed on.
-COUNTED = 200_000
+COUNTED = 400_000
 #: The end of a text as a word: a space, which no word holds.
 END = b" "
 KINDS = 16
+#: The letter for the first kind.
+A = 65
 
 
 def kind_of(word: bytes) -> int:
-    """Shape of a word: its last byte (letter or digit, full stop, comma, other), bytes beyond ASCII or not, long or not."""
+    """Shape of a word: its last byte (letter, digit or beyond ASCII, full stop, comma, other), bytes beyond ASCII or not, long or not."""
     last = word[-1:]
-    shape = 1 if last == b"." else 2 if last == b"," else 0 if last.isalnum() or last >= b"\x80" else 3
+    shape = 0 if last.isalnum() or last >= b"\x80" else 1 if last == b"." else 2 if last == b"," else 3
     return shape + 4 * (not word.isascii()) + 8 * (len(word) > 8)
 
 
+def kind_column(word: Column) -> Column:
+    """kind_of() of words as text."""
+    shape = F.when(word.rlike(r"[a-zA-Z0-9]\z|[^\x00-\x7F]\z"), 0).when(word.endswith("."), 1).when(word.endswith(","), 2).otherwise(3)
+    size = F.octet_length(word)
+    return shape + F.when(size != F.length(word), 4).otherwise(0) + F.when(size > 8, 8).otherwise(0)
+
+
 def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
@@ -53,13 +62,13 @@ def remainder(doc_id: Column, of: int = 7) -> Column:
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """word binary, kind, n over column t, one END for each row."""
+    """word, kind, n over column t, one END for each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
 
         def out() -> pd.DataFrame:
-            frame = pd.DataFrame({"word": list(c), "kind": [kind_of(w) for w in c], "n": list(c.values())})
+            frame = pd.DataFrame({"word": b"\n".join(c).decode().split("\n"), "n": np.fromiter(c.values(), np.int64, len(c))})
             c.clear()
             return frame
 
@@ -71,9 +80,11 @@ def count_words(texts: DataFrame) -> DataFrame:
                 c[END] += s.stop - s.start
                 if len(c) > COUNTED:
                     yield out()
-        yield out()
+        if c:
+            yield out()
 
-    return saved(texts.mapInPandas(run, "word binary, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n")))
+    n = texts.mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return saved(n.select("word", kind_column(F.col("word")).alias("kind"), "n"))
 
 
 class Lexicon:
@@ -81,9 +92,9 @@ class Lexicon:
 
     def __init__(self, counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY):
         self.total, self.distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count(F.lit(1))).first())
-        end = counts.where(F.col("word") == F.lit(END)).first()
+        end = counts.where(F.col("word") == END.decode()).first()
         self.end_count = int(end.n) if end else 0
-        words = counts.where(F.col("word") != F.lit(END))
+        words = counts.where(F.col("word") != END.decode())
         short = words.where(F.octet_length("word") <= LONG)
         left, least = head, None
         for r in short.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(head).toLocalIterator():
@@ -91,10 +102,10 @@ class Lexicon:
                 break
             left, least = left - r.words, r.n
         rows = short.where(F.col("n") >= least).collect() if least is not None else []
-        rows.sort(key=lambda r: (-r.n, bytes(r.word)))
-        self.words = [bytes(r.word) for r in rows]
-        self.count = np.array([r.n for r in rows], np.int64)
-        self.kind = np.array([r.kind for r in rows], np.int8)
+        rows = sorted((-r.n, r.word.encode(), r.kind) for r in rows)
+        self.words = [w for _, w, _ in rows]
+        self.count = np.array([-n for n, _, _ in rows], np.int64)
+        self.kind = np.array([k for _, _, k in rows], np.int8)
         known = np.arange(min(len(rows), vocabulary - KINDS - 1))
         # counts and words of each kind outside the model's tokens
         by_kind = {r.kind: (r.n, r.words) for r in words.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()}
@@ -122,40 +133,42 @@ class Lexicon:
 
 
 def tokenized(docs: DataFrame, shared) -> DataFrame:
-    """row, d, held_out, n_tokens, n_known, base, inside (sums over words of the head), tokens (unsigned 16 bit), tail (words beyond the head), written once.
+    """row, d, held_out, n_tokens, n_known, base, inside (sums over words of the head), tokens (unsigned 16 bit), tail, written once.
 
-    docs: row, d, held_out, t. shared: a broadcast Lexicon.
+    tail: the words beyond the head, a space between them and each after a letter for its kind. docs: row, d, held_out, t.
+    shared: a broadcast Lexicon.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex: Lexicon = shared.value
         get = lex.index().get
-        token, base, inside = (np.append(x, 0) for x in (lex.token, lex.base, lex.inside))  # -1 is no word of the head
+        token, base, inside = (np.append(x, 0) for x in (lex.token.astype("<u2"), lex.base, lex.inside))  # -1 is no word of the head
+        marks = [bytes([A + k]) for k in range(KINDS)]
         for b in batches:
             t = b.pop("t").fillna("")
             for s in chunks(t):
                 each = [words_of(x) for x in t.iloc[s]]
                 n = np.array([len(w) for w in each], np.int64)
                 flat = list(chain.from_iterable(each))
-                at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+                at = np.fromiter(map(get, flat, repeat(-1)), np.int32, len(flat))
                 owner = np.repeat(np.arange(len(n)), n)
                 own = token[at]
-                tails: list[Counter] = [Counter() for _ in each]
-                for i in np.flatnonzero(at < 0).tolist():
-                    w = flat[i]
-                    own[i] = lex.kind_token[kind_of(w)]
-                    tails[owner[i]][w] += 1
+                beyond = np.flatnonzero(at < 0)
+                words = [flat[i] for i in beyond.tolist()]
+                kinds = list(map(kind_of, words))
+                own[beyond] = lex.kind_token[np.array(kinds, np.int64)]
+                marked = [marks[k] + w for k, w in zip(kinds, words, strict=True)]
+                cuts = np.searchsorted(owner[beyond], np.arange(len(n) + 1)).tolist()
                 stops = np.cumsum(n + 1)
                 tokens = np.full(int(stops[-1]) if len(n) else 0, lex.end_token, "<u2")
                 tokens[np.arange(len(flat)) + owner] = own
                 raw, ends = tokens.tobytes(), (2 * stops).tolist()
-                out = b.iloc[s].assign(
-                    n_tokens=n + 1, n_known=np.bincount(owner, at >= 0, len(n)).astype(np.int64) + (lex.end_count > 0), base=np.bincount(owner, base[at], len(n)) + lex.end_base, inside=np.bincount(owner, inside[at], len(n)),
-                    tokens=[raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], tail=[[{"w": w, "k": kind_of(w), "n": k} for w, k in c.items()] for c in tails],
+                yield b.iloc[s].assign(
+                    n_tokens=n + 1, n_known=n - np.diff(cuts) + (lex.end_count > 0), base=np.bincount(owner, base[at], len(n)) + lex.end_base, inside=np.bincount(owner, inside[at], len(n)),
+                    tokens=[raw[x:y] for x, y in zip([0, *ends], ends, strict=False)], tail=[b" ".join(marked[x:y]).decode() for x, y in zip(cuts, cuts[1:], strict=False)],
                 )
-                yield out
 
-    return saved(docs.select("row", "d", "held_out", "t").mapInPandas(run, "row long, d string, held_out boolean, n_tokens long, n_known long, base double, inside double, tokens binary, tail array<struct<w:binary,k:int,n:long>>"))
+    return saved(docs.select("row", "d", "held_out", "t").mapInPandas(run, "row long, d string, held_out boolean, n_tokens long, n_known long, base double, inside double, tokens binary, tail string"))
 
 
 def segments(tokens: DataFrame) -> DataFrame:
@@ -246,11 +259,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
 
     plain = "row long, d string, held_out boolean, n_tokens long, n_known long, base double, inside double"
     scored = tokens.drop("tail").mapInPandas(run, f"{plain}, model double")
-    rare = tokens.select("row", F.explode("tail").alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.k").alias("k"), F.col("x.n").alias("n"))
+    rare = tokens.where("tail <> ''").select("row", F.explode(F.split("tail", " ")).alias("x")).select("row", F.substring("x", 2, 1 << 30).alias("w"), (F.ascii("x") - A).alias("k"))
     unit = F.element_at(F.array(*[F.lit(float(x)) for x in lex.kind_unit]), F.col("k") + 1)
     c = F.coalesce(F.col("c"), F.lit(0))
     found = rare.join(counts.select("word", F.col("n").alias("c")), F.col("w") == F.col("word"), "left").groupBy("row").agg(
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("known"), F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(lex.unit)))).alias("rare_base"), F.sum(F.col("n") * F.log10((c + 1) / unit)).alias("rare")
+        F.sum((c > 0).cast("long")).alias("known"), F.sum(F.log10((c + 1) / F.lit(float(lex.unit)))).alias("rare_base"), F.sum(F.log10((c + 1) / unit)).alias("rare")
     )
     out = scored.join(found, "row", "left")
     zero = F.lit(0.0)

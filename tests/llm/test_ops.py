@@ -790,6 +790,13 @@ def test_lm_score_of_each_row_by_plain_steps(spark, tmp_path, docs, head, monkey
         assert d == e and math.isclose(s, u, rel_tol=2e-4, abs_tol=1e-3)
 
 
+def test_kinds_of_words_by_both_codes(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("aZ09.,-!\u00e9\u0130\u4e2d\U0001f600\x1c\x85") for _ in range(r.randrange(1, 12))) for _ in range(500)]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", lm_score.kind_column(F.col("w")).alias("k")).collect()
+    assert all(x.k == lm_score.kind_of(x.w.encode()) for x in got)
+
+
 def test_lm_score_of_nothing(spark, tmp_path):
     e = empty(spark, tmp_path)
     assert lm_score.score(e).count() == 0
