@@ -21,26 +21,32 @@ LENGTHS = (3, 4, 5)
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with the rule's path.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
-#: The labelled table: hosts whose pages are unwanted (1) or wanted (0), each with paths of both kinds.
-UNWANTED_HOSTS = (
-    "cheap-pills.example", "spam-farm.example", "casino-bonus.example", "best-loans.example", "free-prizes.example", "adult-dating.example", "win-money.example", "buy-followers.example",
-    "replica-watches.example", "hot-singles.example", "link-farm.example", "pills-online.example", "online-casino.example", "crypto-doubler.example", "fake-diplomas.example", "bet-now.example",
-    "cheap-meds.example", "spam-blog.example", "porn-tube.example", "xxx-videos.example", "seo-spam.example", "payday-loans.example", "lottery-winner.example", "free-viagra.example",
-)
-WANTED_HOSTS = (
-    "news.example", "blog.example", "www.library.example", "m.weather.example", "docs.project.example", "museum.example", "www.university.example", "recipes.example",
-    "blog.travel.example", "garden.example", "history.example", "www.school.example", "m.sport.example", "science.example", "music.example", "forum.cooking.example",
-    "www.theatre.example", "poetry.example", "blog.theory.example", "m.thread.example", "thirteen.example", "other.example", "www.northern.example", "theation.example",
-)
-UNWANTED_PATHS = ("/buy/cheap", "/free-offer", "/promo?click=1", "/xxx/1", "/casino/play", "/en/450?page=2&ref=x")
-WANTED_PATHS = ("/en/785.html", "/articles/2019", "/about", "/de/612", "/fr/233/", "/index.html")
+# the labelled table: words of hosts that are unwanted or wanted, paths, and how they are put together
+UNWANTED_WORDS = (
+    "adserver ads adult affiliate banner betting bingo bonus booty cash casino cheap click counterfeit crack crypto dating deals diet discount earn escort fake followers forex free gambling giveaway hacks "
+    "hookup hot instant jackpot keygen lenders loans lottery lucky malware meds miracle money nude payday phish pills poker popunder porn prize replica rich scam sexy singles slots spam stats-pixel sweepstakes "
+    "torrentz tracker traffic viagra warez weightloss xxx"
+).split()
+WANTED_WORDS = (
+    "academy almanac archive arts astronomy atlas baker biology books bridge cathedral chemistry choir cinema city clinic college council country cycling daily design dictionary docs economy education engineering essays "
+    "family field forest forum garden gazette geography grammar guild health heritage history hospital house insect island journal kitchen lake language law letters library literature market mathematics medicine meteo "
+    "mountain museum music nature northern notes observatory opera orchard parish philosophy physics poetry post project railway recipes research review river school science sculpture society sport station stories "
+    "studio summit theatre times town trail university valley village weather wiki world writers zoo bibliothek garten schule wissenschaft zeitung nachrichten jardin ecole journaux musee recherche sante biblioteca "
+    "ciencia escuela historia noticias universidad"
+).split()
+PREFIXES = ("", "www.", "m.", "blog.", "en.")
+ENDINGS = (".com", ".org", ".net", ".info", ".eu")
+PATHS = ("/", "/en/18", "/articles/2019/05", "/index.html", "/de/thema/7", "/p?id=3", "/fr/page/2", "/es/401.html")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table that the model is trained from."""
-    bad = [(f"https://{h}{p}", 1) for i, h in enumerate(UNWANTED_HOSTS) for p in (UNWANTED_PATHS[i % len(UNWANTED_PATHS)], WANTED_PATHS[i % len(WANTED_PATHS)])]
-    good = [(f"https://{h}{p}", 0) for i, h in enumerate(WANTED_HOSTS) for p in (WANTED_PATHS[i % len(WANTED_PATHS)], UNWANTED_PATHS[-1])]
-    return bad + good
+    """The small labelled table that the model is trained from: each word as a host of its own and joined with two others of its list, under endings and paths that both labels share."""
+    rows = []
+    for words, label in ((UNWANTED_WORDS, 1), (WANTED_WORDS, 0)):
+        for i, w in enumerate(words):
+            for j, name in enumerate((w, f"{w}-{words[(3 * i + 7) % len(words)]}", f"{words[(5 * i + 11) % len(words)]}{w}")):
+                rows.append((f"https://{PREFIXES[(i + j) % 5]}{name}{ENDINGS[(i + 2 * j) % 5]}{PATHS[(i + 3 * j) % 8]}", label))
+    return rows
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -76,7 +82,7 @@ def plain_split(url: str) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), tail.split("?")[0].split("#")[0]
 
 
-def train(rows: list[tuple[str, int]], rounds: int = 200, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent; the table's size bounds the work."""
     x = [grams(*plain_split(u)) for u, _ in rows]
     y = np.array([label for _, label in rows], float)
