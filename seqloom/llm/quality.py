@@ -3,7 +3,7 @@
 A document's weight is the ratio of its probability under the target model (documents labelled good) to that under the raw
 model (all documents); the k largest of log weight + Gumbel noise are a sample without replacement in proportion to the
 weights. Log ratios of buckets are whole numbers of 2^-20, so a document's sum is the same in any order, and noise comes
-from a hash of the row: a second pass over the texts finds the same keys, and only keys travel.
+from a hash of the row. Texts are read twice, to count and to score; what is scored is written beside its key.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import drop_saved, free_name, saved
+from .common import saved
 from .packing import chunks
 
 BUCKETS = 1 << 15
@@ -129,20 +130,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return log_ratios(*_counts(docs, id_col, text_col, good)), share
 
 
-def score(docs: DataFrame, labels: DataFrame, seed: int = 0, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float, np.ndarray]:
-    """doc_id, log_ratio, key of every row (written once), the key from which on rows are kept, and the model."""
-    table, good = fit(docs, labels, id_col, text_col)
+def threshold(keys: DataFrame, share: float) -> float:
+    """The key from which on rows are kept: that of row number round(share * rows) in falling order. keys: column key."""
+    n = keys.count()
+    return kth_largest(keys, round(n * share), n)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def with_keys(docs: DataFrame, table: np.ndarray, seed: int, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
+    """Those columns of docs, log_ratio and key of every row, written once: a struct doc keeps the columns' names apart."""
+    kept = docs.select(F.struct(*columns).alias("doc"), F.col(id_col).cast("string").alias("d"), F.col(text_col).alias("t"))
+    schema = T.StructType([kept.schema["doc"], T.StructField("log_ratio", T.DoubleType()), T.StructField("key", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            ratio, key = keys_of(hasher, table, seed, b["doc_id"].tolist(), b["t"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "log_ratio": ratio, "key": key})
+            ratio, key = keys_of(hasher, table, seed, b.column(1).to_pylist(), b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ratio, pa.float64()), pa.array(key, pa.float64())], names=["doc", "log_ratio", "key"])
 
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(run, "doc_id string, log_ratio double, key double")
-    keys = saved(rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType)))
-    n = keys.count()
-    return keys, kth_largest(keys, round(n * (good if share is None else share)), n), table
+    return saved(kept.mapInArrow(run, schema))
 
 
 def classify(docs: DataFrame, labels: DataFrame, seed: int = 0, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,21 +158,19 @@ def classify(docs: DataFrame, labels: DataFrame, seed: int = 0, share: float | N
     is empty and has log ratio 0. Labels of unknown or null ids and null labels don't count; without labels the models
     are the same smoothed counts and all rows are kept. Other columns are ignored. An empty table gives an empty table.
     """
-    keys, least, _ = score(docs, labels, seed, share, id_col, text_col)
-    return keys.withColumn("kept", F.col("key") >= F.lit(least))
+    table, good = fit(docs, labels, id_col, text_col)
+    keys = with_keys(docs, table, seed, id_col, text_col, [id_col])
+    least = threshold(keys.select("key"), good if share is None else share)
+    return keys.select(F.col("doc").getField(id_col).alias("doc_id"), "log_ratio", "key", (F.col("key") >= F.lit(least)).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns; texts are read again, not shuffled."""
-    keys, least, table = score(docs, labels, seed, share, id_col, text_col)
-    drop_saved(keys)
-    id_text = free_name(docs, "id_text")
-    columns = docs.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            _, key = keys_of(hasher, table, seed, b.column(len(columns)).to_pylist(), b.column(columns.index(text_col)).to_pylist())
-            yield b.filter(pa.array(key >= least)).select(columns)
+    """The rows of docs that classify() keeps, with all their columns, of any name.
 
-    return docs.withColumn(id_text, F.col(id_col).cast("string")).mapInArrow(keep, docs.schema)
+    Texts are scored once and written with their keys; no text is shuffled. Null and empty texts, ties, repeated rows and
+    missing labels count as they do there; an empty table gives an empty table.
+    """
+    table, good = fit(docs, labels, id_col, text_col)
+    keys = with_keys(docs, table, seed, id_col, text_col, docs.columns)
+    least = threshold(keys.select("key"), good if share is None else share)
+    return keys.where(F.col("key") >= F.lit(least)).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

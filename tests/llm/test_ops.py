@@ -216,6 +216,33 @@ def test_quality_keeps_the_largest_keys(spark, tmp_path):
     assert quality.keep_good(d, labels.limit(0)).count() == len(rows)
 
 
+def test_quality_scores_of_each_row_by_hand(spark, sf):
+    """Counts, ratios and noise of a whole table, document by document in plain code."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.quality is not None}
+
+    def buckets(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+        h = [zlib.crc32(t.encode()) for t in tokens]
+        return [x % quality.BUCKETS for x in h] + [(1 if a == b else ((a * 0x9E3779B1 + b) >> 7) & 0x7FFFFFFF) % quality.BUCKETS for a, b in zip(h, h[1:], strict=False)]
+
+    target, raw = collections.Counter(), collections.Counter()
+    for r in docs:
+        raw.update(own := buckets(r.text))
+        if labels.get(r.doc_id):
+            target.update(own)
+    weight = {i: round(math.log((target[i] + 1) / (target.total() + quality.BUCKETS) / ((raw[i] + 1) / (raw.total() + quality.BUCKETS))) * quality.UNIT) for i in raw}
+    want = {r.doc_id: sum(weight[i] for i in buckets(r.text)) / quality.UNIT for r in docs}
+    got = queries.op4_importance_resampling(spark, sf).collect()
+    assert len(got) == len(docs)
+    text = {r.doc_id: r.text or "" for r in docs}
+    for r in got:
+        assert math.isclose(r.log_ratio, want[r.doc_id], abs_tol=2e-6 * (len(text[r.doc_id]) + 1))
+        assert math.isclose(r.key, r.log_ratio + quality.gumbel(0, r.doc_id, text[r.doc_id]), rel_tol=1e-12)
+    k = round(len(docs) * sum(x > 0 for x in labels.values()) / len(labels))
+    assert sum(r.kept for r in got) == k and min(r.key for r in got if r.kept) > max(r.key for r in got if not r.kept)
+
+
 def test_quality_ratio_by_hand():
     h = quality.Hasher()
     assert len(h("a b, a a")) == 9 and len(h("")) == 0
