@@ -15,28 +15,38 @@ from seqloom.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents outside the importance sample go."""
+    """Documents outside the importance sample go; all columns of the rest stay.
+
+    Null and empty texts are scored as empty; rows that tie with the last one of the sample stay; repeated rows are judged
+    each for itself, with equal results; without labels all rows stay. Further columns, of any name, stay as they are.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """One document of each class of near duplicates stays: that with the smallest id, of equal ids the first row, null ids last.
+
+    Null and empty texts are one class. Further columns, of any name, stay as they are.
+    """
     return near_dedup.keep_one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, are cut or go, so that sources come near their targets."""
+    """Documents repeat, are cut or go, so that sources come near their targets.
+
+    Documents without words go, null texts among them; a null source is a source. Further columns, of any name, stay.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boundary records of the packed sequences."""
+    """Boundary records of the packed sequences. A null text is empty, an empty one its end id alone; each row is a document. Further columns are ignored."""
     return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [("quality_classifier", quality_stage), ("minhash_near_dedup", dedup_stage), ("mix_to_weights", mixing_stage), ("packing", packing_stage)]
 
-#: The models' sums and the order of hashes have no counterpart in SQL; tests hold every stage against brute force.
+#: The models' sums and the order of hashes have no counterpart in SQL; tests/llm/test_pipeline.py holds run() against its stages by hand.
 ORACLE_SQL = None
 
 
