@@ -9,10 +9,12 @@ emits one boundary record for each piece. No row is shuffled but the totals.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -22,10 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, saved
 
-#: Words whose ids a worker keeps; beyond it the older half is forgotten.
+#: Words whose ids a worker keeps; beyond it the older half is forgotten before the next texts.
 CACHE_WORDS = 1_000_000
 #: Marks that never join a letter or digit before them in one token.
 ASCII_MARKS = b".,;:!?%$#&*|"
+#: A byte of a character from U+0300 on, where combining marks begin.
+BEYOND = re.compile(rb"[\xcc-\xff]")
 #: Characters tokenized at once by a worker.
 CHUNK_CHARS = 1 << 20
 _KEPT: dict[str, CachedTokenizer] = {}
@@ -48,8 +52,9 @@ def plain_end(c: str) -> bool:
 class CachedTokenizer:
     """Ids of whole texts from ids of their white-space separated words.
 
-    Exact for tokenizers that never join text across white space and drop it; word_bpe_49k is one. Words are split as
-    bytes at ASCII white space; what else counts as white space is left to the tokenizer, inside the word.
+    Exact for tokenizers that compose, lower-case and never join text across white space and drop it; word_bpe_49k is one.
+    Words are split as bytes at ASCII white space; what else counts as white space is left to the tokenizer, inside the
+    word. Texts without combining marks are composed already, so their A-Z are lower-cased first.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
@@ -60,60 +65,52 @@ class CachedTokenizer:
         self.tokenizer.encode_special_tokens = True  # text that looks like a special token is ordinary text
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         mark = self.tokenizer.encode("|", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None  # stands between words of letters and digits that are encoded together
+        self.mark = mark[0] if len(mark) == 1 else None  # stands between words that are encoded together
         self.cache_words = cache_words
-        self.new: dict[bytes, np.ndarray] = {}
-        self.old: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Puts the ids of words into known. Words without the mark are encoded together, the mark between them."""
+        known, texts = self.known, [w.decode() for w in words]
+        if self.mark is not None:
+            joined = [i for i, w in enumerate(words) if b"|" not in w]
+            for s in range(0, len(joined), 500):
+                some = joined[s : s + 500]
+                ids = np.array(self.tokenizer.encode_batch_fast([" | ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
+                cuts = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
+                if len(cuts) == len(some) - 1:
+                    raw = ids.tobytes()
+                    for i, a, b in zip(some, [0, *[c + ids.itemsize for c in cuts]], [*cuts, len(raw)], strict=True):
+                        known[words[i]] = raw[a:b]
+        rest = [i for i, w in enumerate(words) if w not in known]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            known[words[i]] = np.array(e.ids, self.dtype).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        new, old, missing, ended = self.new, self.old, [], []
+        known, ended, parts = self.known, [], set()
         for w in words:
-            if (ids := old.get(w)) is not None:
-                new[w] = ids
-            elif (core := w.rstrip(ASCII_MARKS)) and core != w and plain_end(core.decode()[-1]):
-                ended.append((w, core, w[len(core) :]))  # marks after a letter or digit are tokens of their own
+            core = w.rstrip(ASCII_MARKS)
+            if core != w and core and (core[-1:].isalnum() or core[-1] >= 128 and plain_end(core.decode()[-1])):
+                marks = w[len(core) :]
+                ended.append((w, core, marks))  # marks after a letter or digit are tokens of their own
+                parts.add(core)
+                parts.add(marks)
             else:
-                missing.append(w)
-        parts = {p for _, core, marks in ended for p in (core, marks)}.difference(missing)
-        for p in parts:
-            if p not in new:
-                if (ids := old.get(p)) is not None:
-                    new[p] = ids
-                else:
-                    missing.append(p)
-        texts = [w.decode() for w in missing]
-        plain = [i for i, t in enumerate(texts) if t.isalnum()] if self.mark is not None else []
-        for s in range(0, len(plain), 500):
-            some = plain[s : s + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" | ".join([texts[i] for i in some])], add_special_tokens=False)[0].ids, self.dtype)
-            cuts = (np.flatnonzero(ids == self.mark) * ids.itemsize).tolist()
-            if len(cuts) == len(some) - 1:
-                raw = ids.tobytes()
-                for i, a, b in zip(some, [0, *[c + ids.itemsize for c in cuts]], [*cuts, len(raw)], strict=True):
-                    new[missing[i]] = raw[a:b]
-        rest = [i for i, w in enumerate(missing) if w not in new]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            new[missing[i]] = np.array(e.ids, self.dtype).tobytes()
+                parts.add(w)
+        self._encode([p for p in parts if p not in known])
         for w, core, marks in ended:
-            new[w] = new[core] + new[marks]
+            known[w] = known[core] + known[marks]
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """For each text its ids and then end, as little-endian bytes of self.dtype."""
-        tail, out, missing = np.array([end], self.dtype).tobytes(), [], set()
-        if len(self.new) > self.cache_words // 2:
-            self.new, self.old = {}, self.new
-        get = self.new.get
-        for t in texts:
-            words = t.encode().split()
-            ids = list(map(get, words))
-            if None in ids:
-                missing.update([w for w, x in zip(words, ids, strict=True) if x is None])
-                out.append((words, ids))
-            else:
-                out.append(b"".join(ids) + tail)
-        self._learn(missing)
-        known = self.new.__getitem__
-        return [x if isinstance(x, bytes) else b"".join([known(w) if i is None else i for w, i in zip(*x, strict=True)]) + tail for x in out]
+        tail = np.array([end], self.dtype).tobytes()
+        if len(self.known) > self.cache_words:  # the older half goes
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        raw = [t.encode() for t in texts]
+        words = [(x if BEYOND.search(x) else x.lower()).split() for x in raw]
+        self._learn(set(chain.from_iterable(words)).difference(self.known))
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) + tail for w in words]
 
 
 def chunks(texts: pd.Series, limit: int = CHUNK_CHARS) -> Iterator[slice]:
