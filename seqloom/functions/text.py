@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -54,3 +58,60 @@ def adler32(text: Column) -> Column:
 def runs(text: Column, pattern: str) -> Column:
     """Pieces of text that match pattern, each maximal run one element, with all that lies between as elements too."""
     return F.filter(F.regexp_extract_all(text, F.lit(f"({pattern}+|(?!{pattern}).)"), 1), lambda x: F.length(x) > 0)
+
+
+def letter_counts(df: DataFrame, seq: str) -> DataFrame:
+    """ch, n for each of A to Z over all upper-case sequences: lengths with and without the letter, no row for a character."""
+    sums = df.agg(*[F.sum(F.length(seq) - F.length(F.replace(F.col(seq), F.lit(c), F.lit("")))).alias(c) for c in UPPER])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n")) for c in UPPER])).alias("x")).select("x.ch", "x.n")
+
+
+def kmer_counts(df: DataFrame, seq: str, k: int, piece: int = 1 << 20) -> DataFrame:
+    """k (text), n of all stretches of k letters A to Z of upper-case sequences, by numbers of base 32; long sequences are counted in pieces. k is at most 12."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shifts = np.arange(k - 1, -1, -1) * 5
+
+        def counted(texts: list[str]) -> pd.DataFrame:
+            # a letter below A between sequences keeps stretches from running on
+            a = np.frombuffer("@".join(texts).encode(), np.uint8).astype(np.int64) - 64
+            m = max(0, len(a) - k + 1)
+            key, whole = np.zeros(m, np.int64), np.ones(m, bool)
+            for j in range(k):
+                key = key << 5 | a[j : j + m]
+                whole &= a[j : j + m] > 0
+            codes, n = np.unique(key[whole], return_counts=True)
+            names = ((codes[:, None] >> shifts & 31) + 64).astype(np.uint8).tobytes().decode()
+            return pd.DataFrame({"k": [names[i : i + k] for i in range(0, len(names), k)], "n": n})
+
+        some, size = [], 0
+        for b in batches:
+            for s in b[seq].dropna():
+                for i in range(0, max(1, len(s) - k + 1), piece):
+                    some.append(s[i : i + piece + k - 1])
+                    size += len(some[-1])
+                    if size >= piece:
+                        yield counted(some)
+                        some, size = [], 0
+        if some:
+            yield counted(some)
+
+    return df.select(seq).mapInPandas(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def _cased(upper: pd.Series, lengths: pd.Series, low: pd.Series) -> pd.Series:
+    out = []
+    for s, n, first in zip(upper, lengths, low, strict=True):
+        if s is None or n is None:
+            out.append(None)
+            continue
+        a = np.frombuffer(s.encode(), np.uint8)
+        n = np.asarray(n, np.int64)
+        turned = np.repeat(np.arange(len(n)) % 2 == (0 if first else 1), n)
+        out.append((a + 32 * turned.astype(np.uint8)).tobytes().decode())
+    return pd.Series(out)
+
+
+def apply_case(upper: Column, lengths: Column, low: Column) -> Column:
+    """Upper-case letters with their case from the lengths of its runs, which take turns; low: whether the first is lower case. In one pass."""
+    return F.pandas_udf(_cased, "string")(upper, lengths, low)

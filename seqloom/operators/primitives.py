@@ -6,17 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def partition_order(df: DataFrame, selected: Column, idx: str) -> DataFrame:
-    """Places selected rows first in their order, rejected ones after them in reverse: adds place, from 0, without a global sort.
-
-    idx must be a dense row number from 0; a selected row's place is the number of selected rows before it.
-    """
-    from .scans import running
-
-    flagged = df.withColumn("sel", selected.cast("int"))
-    n = flagged.agg(F.count(F.lit(1)).alias("n"))
-    before = running(flagged, [idx], "sel", "sum", "sel_before", exclusive=True)
-    return before.crossJoin(F.broadcast(n)).withColumn("place", F.when(F.col("sel") == 1, F.col("sel_before")).otherwise(F.col("n") - 1 - (F.col(idx) - F.col("sel_before")))).drop("n", "sel_before")
+def partition_order(df: DataFrame, selected: Column, *order: Column | str) -> DataFrame:
+    """Places selected rows first in their order, rejected ones after them in reverse: adds place, from 0. One sort; rows and selected rows are counted in the same pass."""
+    from .scans import ordered
+
+    kept = ordered(df.withColumn("_sel", selected.cast("int")), *order)
+    parts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_sel").alias("_s"))
+    w, everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    base = parts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"), F.sum("_n").over(everything).alias("_all"))
+    own = F.coalesce(F.sum("_sel").over(Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = kept.withColumn("_own", own).join(F.broadcast(base), F.col("_part") == F.col("_p"))
+    before = F.col("_before") + F.col("_own")
+    place = F.when(F.col("_sel") == 1, before).otherwise(F.col("_all") - 1 - (F.col("_rows") + F.col("_pos") - before))
+    return out.withColumn("place", place).drop("_sel", "_part", "_pos", "_p", "_rows", "_before", "_all", "_own")
 
 
 def buckets(df: DataFrame, bucket: Column) -> DataFrame:

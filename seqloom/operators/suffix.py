@@ -14,35 +14,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def suffix_array(s: bytes | np.ndarray) -> np.ndarray:
-    """Positions in suffix order; a suffix that is a prefix of another comes first. Ranks of 8 bytes, then doubling."""
+def packed(a: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """For each place the next letters as one number, zeros beyond the end; how many letters that are, and bits for each."""
+    values, letter = np.unique(a, return_inverse=True)
+    bits = max(1, len(values).bit_length())
+    h = max(1, 63 // bits)
+    wide = np.zeros(len(a) + h, np.int64)
+    wide[: len(a)] = letter + 1
+    key, have = wide[: len(a) + h].copy(), 1
+    while have < h:  # keys of twice as many letters, from two of the shorter ones
+        step = min(have, h - have)
+        ahead = np.zeros_like(key)
+        ahead[: len(key) - step] = key[step:]
+        if step < have:  # the last letters of what is there and the first of what follows overlap
+            ahead &= (1 << bits * have) - 1
+            key = (key << bits * step) | (ahead & ((1 << bits * step) - 1))
+        else:
+            key = (key << bits * step) | ahead
+        have += step
+    return key[: len(a)], h, bits
+
+
+def suffix_array(s: bytes | np.ndarray, keys: tuple[np.ndarray, int, int] | None = None) -> np.ndarray:
+    """Positions in suffix order; a suffix that is a prefix of another comes first. keys: packed(s).
+
+    Sorted by packed letters, then by doubling, where only suffixes that still share their rank are sorted again.
+    """
     a = np.frombuffer(s, np.uint8) if isinstance(s, bytes) else s
     n = len(a)
     if n < 2:
         return np.arange(n)
-    wide = np.zeros(n + 8, np.uint64)
-    wide[:n] = a.astype(np.uint64) + 1
-    key = np.zeros(n, np.uint64)
-    bits = max(1, int(wide.max()).bit_length())
-    h = min(8, 64 // bits)
-    for j in range(h):
-        key = (key << np.uint64(bits)) | wide[j : j + n]
+    key, h, _ = keys or packed(a)
     sa = np.argsort(key, kind="stable")
     k = key[sa]
+    fresh = np.concatenate([[True], k[1:] != k[:-1]])
+    slots = np.arange(n)
     rank = np.empty(n, np.int64)
-    rank[sa] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-    while rank[sa[-1]] < n - 1:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - h)] = rank[h:] + 1
-        both = rank * (n + 1) + after
-        sa = np.argsort(both, kind="stable")
-        k = both[sa]
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
+    rank[sa] = np.maximum.accumulate(np.where(fresh, slots, 0))
+    alone = fresh & np.append(fresh[1:], True)
+    left = np.flatnonzero(~alone)
+    while len(left):
+        p = sa[left]
+        there = p + h
+        after = np.where(there < n, rank[np.minimum(there, n - 1)] + 1, 0)
+        both = rank[p] * (n + 1) + after
+        order = np.argsort(both, kind="stable")
+        p, both = p[order], both[order]
+        sa[left] = p
+        fresh = np.concatenate([[True], both[1:] != both[:-1]])
+        rank[p] = np.maximum.accumulate(np.where(fresh, left, 0))
+        left = left[~(fresh & np.append(fresh[1:], True))]
         h *= 2
     return sa
 
 
+def plcp_array(a: np.ndarray, sa: np.ndarray, keys: tuple[np.ndarray, int, int] | None = None) -> np.ndarray:
+    """For each position the common prefix with the suffix before its own in order, 0 for the first suffix's.
+
+    Only irreducible positions are compared, those whose letter before differs from that before their neighbour's; along
+    the others the prefix is one shorter with each step. Compared are packed letters.
+    """
+    n = len(a)
+    if not n:
+        return np.zeros(0, np.int64)
+    key, h, bits = keys or packed(a)
+    phi = np.full(n, -1, np.int64)
+    phi[sa[1:]] = sa[:-1]
+    irreducible = np.ones(n, bool)
+    i = np.arange(1, n)
+    q = phi[1:]
+    irreducible[1:] = (q <= 0) | (a[i - 1] != a[np.maximum(q, 1) - 1])
+    at = np.flatnonzero(irreducible)
+    found = np.zeros(len(at), np.int64)
+    todo = np.flatnonzero(phi[at] >= 0)
+    while len(todo):
+        p, q = at[todo] + found[todo], phi[at[todo]] + found[todo]
+        inside = np.maximum(p, q) < n
+        todo, p, q = todo[inside], p[inside], q[inside]
+        differ = key[p] ^ key[q]
+        # letters that are equal in front of the highest bit that differs
+        high = np.frexp(differ.astype(np.float64))[1].astype(np.int64)  # its number from 1, or one more by rounding
+        high -= (differ >> np.maximum(high - 1, 0) == 0) & (differ > 0)
+        found[todo] += np.where(differ == 0, h, h - -(-high // bits))
+        todo = todo[differ == 0]
+    found = np.minimum(found, n - np.maximum(at, np.maximum(phi[at], 0)))
+    found[phi[at] < 0] = 0
+    run = np.cumsum(irreducible) - 1
+    return (at + found)[run] - np.arange(n)
+
+
 class Extensions:
     """Common prefixes of any two suffixes, by lifting over ranks of doubled lengths; as many levels as the longest repeat has binary digits."""
 
@@ -58,10 +118,6 @@ class Extensions:
             rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
             h *= 2
 
-    def order(self) -> np.ndarray:
-        """The suffixes' order: the last level's ranks are all different."""
-        return np.argsort(self.levels[-1][1][: self.n], kind="stable")
-
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common prefix lengths of the suffixes at i and at j, elementwise; i and j must differ."""
         n, got = self.n, np.zeros(len(i), np.int64)
@@ -74,16 +130,27 @@ class Extensions:
 
 def lcp_array(s: bytes, sa: np.ndarray) -> np.ndarray:
     """Common prefix with the suffix before in order, 0 for the first."""
-    out = np.zeros(len(s), np.int64)
-    out[1:] = Extensions(np.frombuffer(s, np.uint8)).common(sa[1:], sa[:-1])
-    return out
+    return plcp_array(np.frombuffer(s, np.uint8), sa)[sa]
+
+
+def nearest_before(values: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the last marked place before it (-1: none), and the least of values after that up to the place."""
+    at = np.arange(len(values))
+    last = np.maximum.accumulate(np.where(marked, at, -1))
+    before = np.concatenate([[-1], last[:-1]])
+    # one running minimum for all: each stretch between marked places lies below the one before
+    stretch = np.concatenate([[0], np.cumsum(marked)[:-1]])
+    step = int(values.max(initial=0)) + 1
+    low = np.minimum.accumulate(values - stretch * step) + stretch * step
+    return before, low
 
 
 def longest_matches(target: bytes, reference: bytes, never: bytes = b"N1", mismatches: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Length and reference position of each target position's longest match.
 
-    The neighbour before in suffix order wins ties; letters of never match nothing. With mismatches, each match found is
-    extended beyond so many differing letters, which count in its length, as long as both texts last.
+    The neighbours in suffix order are those before and after; running minima of common prefixes give their lengths. The
+    neighbour before wins ties; letters of never match nothing. With mismatches, each match found is extended beyond so
+    many differing letters, which count in its length, as long as both texts last.
     """
     n, m = len(target), len(reference)
     length, where = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -93,18 +160,22 @@ def longest_matches(target: bytes, reference: bytes, never: bytes = b"N1", misma
     # letters that never match get values of their own
     odd = np.flatnonzero(np.isin(joined, np.frombuffer(never + b"\x00", np.uint8)))
     joined[odd] = 256 + np.arange(len(odd))
-    ext = Extensions(joined)
-    sa = ext.order()
-    at = np.arange(len(sa))
+    keys = packed(joined)
+    sa = suffix_array(joined, keys)
+    lcp = plcp_array(joined, sa, keys)[sa]
     of_ref = sa > n
-    before = np.maximum.accumulate(np.where(of_ref, at, -1))
-    after = np.minimum.accumulate(np.where(of_ref, at, len(sa))[::-1])[::-1]
-    for near, there in ((before, before >= 0), (after, after < len(sa))):
-        rows = np.flatnonzero((sa < n) & there)
-        p, q = sa[rows], sa[near[rows]]
-        got = ext.common(p, q)
-        better = got > length[p]
-        length[p[better]], where[p[better]] = got[better], q[better] - n - 1
+    rows = np.flatnonzero(sa < n)
+    before, low = nearest_before(lcp, of_ref)
+    # backwards, a suffix's common prefix with the one after it stands at the one after it
+    after, high = nearest_before(np.append(lcp[1:], 0)[::-1], of_ref[::-1])
+    after, high = len(sa) - 1 - after[::-1], high[::-1]
+    for near, there, got in ((before, before >= 0, low), (after, after < len(sa), high)):
+        at = rows[there[rows]]
+        p = sa[at]
+        better = got[at] > length[p]
+        length[p[better]], where[p[better]] = got[at][better], sa[near[at[better]]] - n - 1
+    if mismatches:
+        ext = Extensions(joined)
     for _ in range(mismatches):
         p, q = np.arange(n) + length, where + length
         ok = np.flatnonzero((p < n) & (q < m))
@@ -139,19 +210,26 @@ def unbwt(last: bytes, row: int) -> bytes:
     return bytes(out)
 
 
-def index_records(df: DataFrame, id_col: str, seq_col: str) -> DataFrame:
-    """id, rank, pos, lcp for every suffix of every record."""
+def index_records(df: DataFrame, id_col: str, seq_col: str, want: str = "lcp") -> DataFrame:
+    """For every suffix of every record: id, rank, pos (want: pos), and lcp (want: lcp); or id, pos, plcp (want: plcp). Null and empty records have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i, s in zip(b[id_col], b["seq"], strict=True):
-                raw = s.encode()
-                sa = suffix_array(raw)
-                if len(sa):
-                    yield pd.DataFrame({id_col: i, "rank": np.arange(len(sa)), "pos": sa, "lcp": lcp_array(raw, sa)})
+                a = np.frombuffer((s or "").encode(), np.uint8)
+                if not len(a):
+                    continue
+                keys = packed(a)
+                sa = suffix_array(a, keys)
+                if want == "pos":
+                    yield pd.DataFrame({id_col: i, "rank": np.arange(len(sa)), "pos": sa})
+                    continue
+                plcp = plcp_array(a, sa, keys)
+                yield pd.DataFrame({id_col: i, "pos": np.arange(len(sa)), "plcp": plcp} if want == "plcp" else {id_col: i, "rank": np.arange(len(sa)), "pos": sa, "lcp": plcp[sa]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, F.col(seq_col).alias("seq")).mapInPandas(run, f"{id_col} {kind}, rank long, pos long, lcp long")
+    columns = {"pos": "rank long, pos long", "lcp": "rank long, pos long, lcp long", "plcp": "pos long, plcp long"}[want]
+    return df.select(id_col, F.col(seq_col).alias("seq")).mapInPandas(run, f"{id_col} {kind}, {columns}")
 
 
 def suffix_ranks(chars: DataFrame, rounds: int = 64) -> DataFrame:

@@ -48,7 +48,8 @@ def sort_pairs_desc(spark, d):
 
 @query("SELECT o_totalprice, row_number() OVER (ORDER BY o_totalprice) - 1 AS idx FROM orders")
 def sort_keys(spark, d):
-    return scans.global_index(t(spark, d, "orders").select("o_totalprice"), "o_totalprice")
+    # equal keys spread over ranges by a number of their own
+    return scans.global_index(t(spark, d, "orders").select("o_totalprice", F.monotonically_increasing_id().alias("n")), "o_totalprice", "n").drop("n")
 
 
 @query("SELECT o_orderkey, (o_orderkey >> 3) & 255 AS bits, row_number() OVER (ORDER BY (o_orderkey >> 3) & 255, o_orderkey) - 1 AS idx FROM orders")
@@ -105,8 +106,7 @@ def select_unique(spark, d):
 @query("""WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS idx, coalesce(value > 50, false) AS sel FROM events)
 SELECT event_id, CASE WHEN sel THEN count(*) FILTER (WHERE sel) OVER (ORDER BY idx) - 1 ELSE (SELECT count(*) FROM e) - (count(*) FILTER (WHERE NOT sel) OVER (ORDER BY idx)) END AS place FROM e""")
 def partition_if(spark, d):
-    e = scans.global_index(t(spark, d, "events").select("event_id", "value"), "event_id")
-    return P.partition_order(e, F.coalesce(F.col("value") > 50, F.lit(False)), "idx").select("event_id", "place")
+    return P.partition_order(t(spark, d, "events").select("event_id", "value"), F.coalesce(F.col("value") > 50, F.lit(False)), "event_id").select("event_id", "place")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -190,7 +190,7 @@ CLEAN = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 @query(f"WITH c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split({CLEAN}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1) SELECT ch, n, (sum(n) OVER (ORDER BY ch) - n)::BIGINT AS begin, sum(n) OVER (ORDER BY ch)::BIGINT AS stop FROM c")
 def byte_histogram(spark, d):
-    c = t(spark, d, "documents").select(F.explode(F.split(T.clean(F.col("text")), "")).alias("ch")).where("ch <> ''").groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    c = T.letter_counts(t(spark, d, "documents").select(T.clean(F.col("text")).alias("s")), "s").where("n > 0")
     w = F.sum("n").over(Window.orderBy("ch").rowsBetween(Window.unboundedPreceding, 0))
     return c.select("ch", "n", (w - F.col("n")).alias("begin"), w.alias("stop"))
 
@@ -235,13 +235,13 @@ def shuffle_rotate(spark, d):
 
 @query("SELECT c_custkey, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS place FROM customer")
 def rank_initial(spark, d):
-    return t(spark, d, "customer").select("c_custkey", F.rank().over(Window.partitionBy("c_mktsegment").orderBy("c_nationkey")).alias("place"))
+    return scans.segment_places(t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), ["c_mktsegment"], ["c_nationkey"], ties=True).select("c_custkey", "place")
 
 
 @query("WITH r AS (SELECT c_custkey, c_acctbal, c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS old FROM customer) SELECT c_custkey, old + rank() OVER (PARTITION BY c_mktsegment, old ORDER BY c_acctbal) - 1 AS place FROM r")
 def rebucket(spark, d):
-    r = t(spark, d, "customer").withColumn("old", F.rank().over(Window.partitionBy("c_mktsegment").orderBy("c_nationkey")))
-    return r.select("c_custkey", (F.col("old") + F.rank().over(Window.partitionBy("c_mktsegment", "old").orderBy("c_acctbal")) - 1).alias("place"))
+    r = scans.segment_places(t(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"), ["c_mktsegment"], ["c_nationkey"], "old", ties=True)
+    return scans.segment_places(r, ["c_mktsegment", "old"], ["c_acctbal"], "inner", ties=True).select("c_custkey", (F.col("old") + F.col("inner") - 1).alias("place"))
 
 
 @query("SELECT user_id, event_id, arg_min(event_id, (value, event_id)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 7 PRECEDING) AS at FROM events WHERE value IS NOT NULL")
@@ -278,8 +278,8 @@ def interval_expand(spark, d):
 
 @query("SELECT n_nationkey AS seg, c_custkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS rank_in_seg FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def load_balance_search(spark, d):
-    j = t(spark, d, "nation").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.select(F.col("n_nationkey").alias("seg"), "c_custkey", (F.row_number().over(Window.partitionBy("n_nationkey").orderBy("c_custkey")) - 1).cast("long").alias("rank_in_seg"))
+    j = t(spark, d, "nation").join(t(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_nationkey").alias("seg"), "c_custkey")
+    return scans.segment_places(j, ["seg"], ["c_custkey"]).select("seg", "c_custkey", (F.col("place") - 1).alias("rank_in_seg"))
 
 
 @query("SELECT a.o_orderkey, coalesce(b.o_custkey, 0) AS ahead FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey + 4")
@@ -352,24 +352,21 @@ def case_runs(spark, d):
 @query("SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS restored FROM documents")
 def case_apply(spark, d):
     s = t(spark, d, "documents").select("doc_id", T.letters(F.col("text")).alias("s"))
-    # runs of one case, their lengths, and the text put together again from its upper-case form
-    runs = F.transform(F.regexp_extract_all("s", F.lit("([a-z]+|[A-Z]+)"), 1), lambda x: F.struct(F.length(x).alias("n"), x.rlike("^[a-z]").alias("low")))
-    # a generator of one row keeps the cleaned text from being worked out again for each run
-    r = s.select("doc_id", F.explode(F.array(F.struct(F.upper("s").alias("u"), runs.alias("runs")))).alias("x")).select("doc_id", F.col("x.u").alias("u"), F.col("x.runs").alias("runs"))
-    fold = F.aggregate("runs", F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.array_append(a["out"], F.when(x["low"], F.lower(F.substring("u", a["at"], x["n"]))).otherwise(F.substring("u", a["at"], x["n"]))).alias("out")))
-    return r.select("doc_id", F.array_join(fold["out"], "").alias("restored"))
+    # lengths of the runs of one case, from which the text is put together again out of its upper-case form
+    lengths = F.transform(F.regexp_extract_all("s", F.lit("([a-z]+|[A-Z]+)"), 1), F.length)
+    return s.select("doc_id", T.apply_case(F.upper("s"), lengths, F.col("s").rlike("^[a-z]")).alias("restored"))
 
 
 @query(f"SELECT k, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(length(s) - 4, 1)), lambda i: substring(s, i, 6))) AS k FROM (SELECT {CLEAN} AS s FROM documents) WHERE length(s) >= 6) GROUP BY 1")
 def kmer_count(spark, d):
-    s = t(spark, d, "documents").select(T.clean(F.col("text")).alias("s")).where(F.length("s") >= 6)
-    # one pass over each text: a substring for each position would clean the text again for each
-    return s.select(F.explode(F.regexp_extract_all("s", F.lit("(?=(.{6}))"), 1)).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    return T.kmer_counts(t(spark, d, "documents").select(T.clean(F.col("text")).alias("s")), "s", 6)
 
 
-@query("SELECT doc_id, CASE WHEN source = lang THEN '0' ELSE source END AS header FROM documents")
+@query("SELECT doc_id, CASE WHEN source = p THEN '0' ELSE source END AS header FROM (SELECT doc_id, source, lag(source) OVER (PARTITION BY lang ORDER BY doc_id) AS p FROM documents)")
 def header_compact(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.when(F.col("source") == F.col("lang"), "0").otherwise(F.col("source")).alias("header"))
+    """A header equal to that of the document before in its language is 0."""
+    before = F.lag("source").over(Window.partitionBy("lang").orderBy("doc_id"))
+    return t(spark, d, "documents").select("doc_id", "source", before.alias("p")).select("doc_id", F.when(F.col("source") == F.col("p"), "0").otherwise(F.col("source")).alias("header"))
 
 
 @query(f"SELECT doc_id, regexp_replace(regexp_replace(s, '(.{{60}})', '\\1\n', 'g'), '\n$', '') AS wrapped FROM (SELECT doc_id, {CLEAN} AS s FROM documents)")
@@ -392,7 +389,7 @@ def reverse_block(spark, d):
 
 @query()
 def suffix_array(spark, d):
-    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq").select("doc_id", "rank", "pos")
+    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq", "pos")
 
 
 @query()

@@ -109,7 +109,7 @@ def kmer_rank(spark, d):
 
 @query()
 def plcp_array(spark, d):
-    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq").select("doc_id", "pos", F.col("lcp").alias("plcp"))
+    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq", "plcp")
 
 
 def suffix_order(spark, d, table: str, key: str) -> DataFrame:
