@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,91 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str,
 def spmv(matrix: DataFrame, vector: DataFrame, row: str, col: str, val: Column, x: Column) -> DataFrame:
     """y = A x for non-zeros (row, col, val) and a vector (col, x)."""
     return matrix.join(vector, col).groupBy(row).agg(F.sum(val * x).alias("y"))
+
+
+def range_minima(values: DataFrame, queries: DataFrame, n: int, fan: int = 6) -> DataFrame:
+    """q, i, j, place, value: the leftmost minimum of places i to j, both included, of values (idx, value); nulls are passed over.
+
+    A tree of minima, 2^fan children a node: a query takes at most 2 * 2^fan nodes of each level, whatever its length.
+    """
+    level = values.where("value IS NOT NULL").select(F.col("idx").alias("node"), F.struct("value", F.col("idx").alias("place")).alias("best"))
+    todo, found = queries.select("q", F.col("i").alias("lo"), F.col("j").alias("hi")), []
+    while True:
+        up = lambda c: F.shiftright(c, fan)
+        ends_at, begins_at = F.shiftleft(up("lo") + 1, fan) - 1, F.shiftleft(up("hi"), fan)
+        inside = up("lo") == up("hi")
+        left = F.sequence("lo", F.when(inside, F.col("hi")).otherwise(ends_at))
+        right = F.when(~inside, F.sequence(begins_at, F.col("hi"))).otherwise(F.array().cast("array<bigint>"))
+        found.append(todo.select("q", F.explode(F.concat(left, right)).alias("node")).join(level, "node").select("q", "best"))
+        n = (n - 1 >> fan) + 1
+        if n <= 1:
+            break
+        todo = todo.where(up("lo") + 1 <= up("hi") - 1).select("q", (up("lo") + 1).alias("lo"), (up("hi") - 1).alias("hi"))
+        level = level.groupBy(up("node").alias("node")).agg(F.min("best").alias("best"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.union(f)
+    best = every.groupBy("q").agg(F.min("best").alias("best"))
+    return queries.join(best, "q", "left").select("q", "i", "j", F.col("best.place").alias("place"), F.col("best.value").alias("value"))
+
+
+def search_bounds(keys: DataFrame, needles: DataFrame, x: str) -> DataFrame:
+    """Adds lower_bound (keys below x) and upper_bound (keys not above) to every row of needles: one running count over both, no range join."""
+    from .scans import running
+
+    counts = keys.groupBy(x).agg(F.count(F.lit(1)).alias("_n"))
+    sought = needles.select(x).distinct().join(counts, x, "full").select(x, F.coalesce("_n", F.lit(0)).alias("_n"))
+    bounds = running(sought, [x], "_n", "sum", "lower_bound", exclusive=True).select(F.col(x).alias("_x"), "lower_bound", (F.col("lower_bound") + F.col("_n")).alias("upper_bound"))
+    return needles.join(bounds, F.col(x) == F.col("_x")).drop("_x")
+
+
+def expanded(df: DataFrame, n: str, *order: str) -> DataFrame:
+    """n rows for each row, numbered k in it and idx over all without gaps; rows with none have no row."""
+    from .scans import running
+
+    begun = running(df, list(order), n, "sum", "_begin", exclusive=True).where(F.col(n) > 0)
+    return begun.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))).withColumn("idx", (F.col("_begin") + F.col("k")).cast("long")).drop("_begin")
+
+
+def interval_move(intervals: DataFrame, values: DataFrame, kind: str) -> DataFrame:
+    """place, x for each place of intervals (seg, src, dst, n). gather: values from src on, written one after another; scatter: values one after another, written from dst on; move: from src on to dst on. values: idx, x; null beyond them."""
+    each = expanded(intervals, "n", "seg")
+    src = F.col("idx") if kind == "scatter" else F.col("src") + F.col("k")
+    dst = F.col("idx") if kind == "gather" else F.col("dst") + F.col("k")
+    return each.select(src.alias("from"), dst.cast("long").alias("place")).join(values, F.col("from") == F.col("idx"), "left").select("place", "x")
+
+
+def remerge(df: DataFrame, group: str, part: str, order: list[str]) -> DataFrame:
+    """Merges the parts of each group in order and deals the rows out again, parts keeping their sizes: adds to_<part> and place in it."""
+    from .scans import segment_places
+
+    sizes = df.groupBy(group, part).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.select(F.col(group).alias("_g"), F.col(part).alias(f"to_{part}"), (F.sum("_n").over(w) - F.col("_n")).alias("_begin"), F.sum("_n").over(w).alias("_stop"))
+    merged = segment_places(df, [group], order, "_place").withColumn("_place", F.col("_place") - 1)
+    here = (F.col(group) == F.col("_g")) & (F.col("_place") >= F.col("_begin")) & (F.col("_place") < F.col("_stop"))
+    return merged.join(sizes, here).withColumn("place", F.col("_place") - F.col("_begin")).drop("_g", "_begin", "_stop", "_place")
+
+
+def histogram_channels(df: DataFrame, channels: dict[str, tuple[Column, list[float]]]) -> DataFrame:
+    """channel, bin, n: counts of each channel between its neighbouring levels, lower bound included, empty bins too; all channels in one pass."""
+
+    def bin_of(x: Column, levels: list[float]) -> Column:
+        out = F.lit(None).cast("int")
+        for i in range(len(levels) - 2, -1, -1):
+            out = F.when((x >= levels[i]) & (x < levels[i + 1]), i).otherwise(out)
+        return out
+
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), bin_of(x, levels).alias("bin")) for c, (x, levels) in channels.items()]))
+    got = df.select(each.alias("s")).select("s.channel", "s.bin").where("bin IS NOT NULL").groupBy("channel", "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.createDataFrame([(c, i) for c, (_, levels) in channels.items() for i in range(len(levels) - 1)], "channel string, bin int")
+    return every.join(got, ["channel", "bin"], "left").select("channel", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def grid_matrix(spark: SparkSession, width: int) -> DataFrame:
+    """row, col, val of the five-point stencil on a square grid: 4 on the diagonal, -1 for each neighbour."""
+    i = F.col("id")
+    x, y = F.floor(i / width), i % width
+    near = [(F.lit(True), i, 4), (x > 0, i - width, -1), (x < width - 1, i + width, -1), (y > 0, i - 1, -1), (y < width - 1, i + 1, -1)]
+    cells = F.filter(F.array(*[F.struct(ok.alias("ok"), j.alias("col"), F.lit(v).alias("val")) for ok, j, v in near]), lambda c: c["ok"])
+    return spark.range(width * width).select(i.alias("row"), F.explode(cells).alias("c")).select("row", "c.col", "c.val")
