@@ -232,15 +232,47 @@ def index_records(df: DataFrame, id_col: str, seq_col: str, want: str = "lcp") -
     return df.select(id_col, F.col(seq_col).alias("seq")).mapInPandas(run, f"{id_col} {kind}, {columns}")
 
 
-def suffix_ranks(chars: DataFrame, rounds: int = 64) -> DataFrame:
-    """pos, rank of one text of any length, from its rows (pos, code): prefix doubling, each round a shuffle by rank and one by position.
+#: Letters of a block when a long text is packed.
+BLOCK = 1 << 16
 
-    Only suffixes whose rank is still shared are ranked again; each round's ranks are a checkpoint.
+
+def packed_places(chars: DataFrame, letters: int = 10) -> DataFrame:
+    """pos, key of each place of one text (pos, code): the next letters as one number, zeros beyond the end. Codes are 1 to 63.
+
+    Blocks of the text are packed where they lie; each needs the first letters of the next ones, a row a block.
     """
-    first = chars.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    first = first.select("code", (F.sum("n").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("rank"), "n")
-    ranks = chars.join(F.broadcast(first), "code").select("pos", "rank", (F.col("n") > 1).alias("open")).checkpoint()
-    h = 1
+    block = F.floor(F.col("pos") / BLOCK).cast("long")
+    whole = chars.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("own"))
+    heads = chars.where(F.col("pos") % BLOCK < letters).groupBy((block - 1).alias("b")).agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("next"))
+    both = whole.join(heads, F.col("block") == F.col("b"), "left").select(F.col("own.pos").alias("pos"), F.col("own.code").alias("own"), F.col("next.code").alias("next"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pos, own, after in zip(b["pos"], b["own"], b["next"], strict=True):
+                a = np.zeros(len(own) + letters, np.int64)
+                a[: len(own)] = own
+                if after is not None:
+                    a[len(own) : len(own) + len(after)] = after
+                key = np.zeros(len(own), np.int64)
+                for j in range(letters):
+                    key = key << 6 | a[j : j + len(own)]
+                yield pd.DataFrame({"pos": pos, "key": key})
+
+    return both.mapInPandas(run, "pos long, key long")
+
+
+def suffix_ranks(chars: DataFrame, rounds: int = 64, letters: int = 10) -> DataFrame:
+    """pos, rank of one text of any length, from its rows (pos, code): ranks of packed letters, then prefix doubling, each round a shuffle by rank and one by position.
+
+    Codes are 1 to 63, positions without gaps from 0. Only suffixes whose rank is still shared are ranked again; each
+    round's ranks are a checkpoint.
+    """
+    from .scans import running
+
+    keys = packed_places(chars, letters).checkpoint()
+    first = running(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"], "n", "sum", "rank", exclusive=True)
+    ranks = keys.join(first, "key").select("pos", F.col("rank").cast("long").alias("rank"), (F.col("n") > 1).alias("open")).checkpoint()
+    h = letters
     for _ in range(rounds):
         if not ranks.where("open").limit(1).count():
             break
@@ -253,3 +285,29 @@ def suffix_ranks(chars: DataFrame, rounds: int = 64) -> DataFrame:
         ranks = ranks.where("NOT open").union(done).checkpoint()
         h *= 2
     return ranks.select("pos", "rank")
+
+
+def common_to(chars: DataFrame, ranks: DataFrame, most: int, letters: int = 10) -> DataFrame:
+    """rank, pos, before (position of the suffix before in order, null for the first), lcp up to most, for one text of any length.
+
+    Common prefixes are read from packed letters, a join for each letters of them; only pairs that are still equal go on.
+    """
+    keys = packed_places(chars, letters).checkpoint()
+    up = ranks.select((F.col("rank") + 1).alias("r"), F.col("pos").alias("before"))
+    todo = ranks.join(up, F.col("rank") == F.col("r"), "left").select("rank", "pos", "before", F.lit(0).cast("long").alias("lcp"), F.col("before").isNotNull().alias("open")).checkpoint()
+    done = []
+    for at in range(0, most, letters):
+        k1 = keys.select((F.col("pos") - at).alias("pos"), F.col("key").alias("k1"))
+        k2 = keys.select((F.col("pos") - at).alias("before"), F.col("key").alias("k2"))
+        pairs = todo.where("open").join(k1, "pos", "left").join(k2, "before", "left")
+        shifts = F.array(*[F.lit(6 * (letters - 1 - j)) for j in range(letters)])
+        # a letter counts if all before it are equal and it is none of the zeros beyond an end
+        same = F.size(F.filter(shifts, lambda b: (F.call_function("shiftright", F.col("k1"), b) == F.call_function("shiftright", F.col("k2"), b)) & (F.call_function("shiftright", F.col("k1"), b).bitwiseAND(F.lit(63)) > 0)))
+        step = F.when(F.col("k1").isNull() | F.col("k2").isNull(), 0).otherwise(same)
+        after = pairs.select("rank", "pos", "before", (F.col("lcp") + step).alias("lcp"), (step == letters).alias("open")).checkpoint()
+        done.append(todo.where("NOT open"))
+        todo = after
+    out = todo
+    for x in done:
+        out = out.union(x)
+    return out.select("rank", "pos", "before", F.least("lcp", F.lit(most)).cast("long").alias("lcp"))

@@ -374,7 +374,9 @@ def fasta_wrap(spark, d):
     return t(spark, d, "documents").select("doc_id", T.wrap(T.clean(F.col("text"))).alias("wrapped"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, {CLEAN} AS s FROM documents), c AS (SELECT doc_id, len(s) AS n, unnest(string_split(s, '')) AS ch, generate_subscripts(string_split(s, ''), 1) - 1 AS i FROM b WHERE s <> ''),
+x AS (SELECT doc_id, (1 + sum(ascii(ch))) % 65521 AS lo, (any_value(n) + sum((n - i) * ascii(ch))) % 65521 AS hi FROM c GROUP BY doc_id)
+SELECT b.doc_id, CASE WHEN s IS NULL THEN NULL ELSE coalesce(hi * 65536 + lo, 1) END::BIGINT AS adler FROM b LEFT JOIN x ON b.doc_id = x.doc_id""")
 def adler32(spark, d):
     return t(spark, d, "documents").select("doc_id", T.adler32(T.clean(F.col("text"))).alias("adler"))
 
@@ -384,22 +386,7 @@ def reverse_block(spark, d):
     return t(spark, d, "documents").select("doc_id", F.reverse(T.clean(F.col("text"))).alias("reversed"))
 
 
-# string index
-
-
-@query()
-def suffix_array(spark, d):
-    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq", "pos")
-
-
-@query()
-def inverse_suffix_array(spark, d):
-    return suffix_array(spark, d).select("doc_id", "pos", "rank")
-
-
-@query()
-def lcp_array(spark, d):
-    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq").select("doc_id", "rank", "lcp")
+# string index: see strings.py
 
 
 @query(f"SELECT doc_id, {CLEAN} AS restored FROM documents")
@@ -410,8 +397,3 @@ def bwt_round_trip(spark, d):
             yield b
 
     return t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")).mapInPandas(run, "doc_id long, restored string")
-
-
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suffix order and common prefixes of every document."""
-    return lcp_array(spark, sf_dir)

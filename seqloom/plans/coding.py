@@ -15,8 +15,8 @@ from ..sources import fasta
 from .catalog import CLEAN, kmer_count, query, t
 
 LETTERS = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
-#: Items and letters up to which references are broadcast; both are counted first.
-BROADCAST_ITEMS, BROADCAST_LETTERS = 100_000, 64 << 20
+#: Items and letters up to which references and their stretches, some 22 letters for each letter, are broadcast; both are counted first.
+BROADCAST_ITEMS, BROADCAST_LETTERS = 100_000, 1 << 20
 
 
 def pairs(spark, d) -> DataFrame:
@@ -107,30 +107,6 @@ def kmer_rank(spark, d):
     return scans.running(kmer_count(spark, d), ["k"], "n", "sum", "rank", exclusive=True)
 
 
-@query()
-def plcp_array(spark, d):
-    return suffix.index_records(t(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("seq")), "doc_id", "seq", "plcp")
-
-
-def suffix_order(spark, d, table: str, key: str) -> DataFrame:
-    """All the table's letters, one text, ordered by the distributed form."""
-    shared.new_folder(spark)
-    letters = F.coalesce(T.clean(F.col("text")), F.lit(""))
-    items = scans.running(t(spark, d, table).select(key, letters.alias("s"), F.length(letters).cast("long").alias("n")), [key], "n", "sum", "begin", exclusive=True)
-    chars = items.select("begin", F.posexplode(F.split("s", "")).alias("i", "ch")).where("ch <> ''")
-    return suffix.suffix_ranks(chars.select((F.col("begin") + F.col("i")).alias("pos"), F.ascii("ch").cast("long").alias("code")))
-
-
-@query()
-def suffix_order_of_one_text(spark, d):
-    return suffix_order(spark, d, "benchmark", "item_id")
-
-
-@query()
-def suffix_order_of_documents(spark, d):
-    return suffix_order(spark, d, "documents", "doc_id")
-
-
 # block codec
 
 
@@ -165,16 +141,19 @@ def codec_filters_round_trip(spark, d):
     return back.select(F.col("id").alias("doc_id"), F.decode("data", "utf-8").alias("restored"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), c AS (SELECT doc_id, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS i, h FROM b),
+x AS (SELECT doc_id, n, i, (strpos('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 1 AS v FROM c),
+s AS (SELECT doc_id, (1 + sum(v)) % 65521 AS lo, (any_value(n) + sum((n - i) * v)) % 65521 AS hi FROM x GROUP BY doc_id)
+SELECT b.doc_id, 0::BIGINT AS block_no, 0::BIGINT AS "offset", (len(h) // 2)::BIGINT AS data_bytes, coalesce(hi * 65536 + lo, 1)::BIGINT AS data_adler FROM b LEFT JOIN s ON b.doc_id = s.doc_id""")
 def codec_block_info(spark, d):
     def run(batches):
         for b in batches:
             info = [codec.block_info(x) for x in b["block"]]
-            for k in ("sorter", "block_bytes", "data_bytes", "data_adler"):
+            for k in ("data_bytes", "data_adler"):
                 b[k] = [i[k] for i in info]
             yield b.drop(columns="block").rename(columns={"id": "doc_id"})
 
-    return codec.compress_table(texts(spark, d)).mapInPandas(run, "doc_id long, block_no long, offset long, sorter int, block_bytes long, data_bytes long, data_adler long")
+    return codec.compress_table(texts(spark, d)).mapInPandas(run, "doc_id long, block_no long, offset long, data_bytes long, data_adler long")
 
 
 @query(SAME)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from seqloom.operators import suffix
-from seqloom.plans import arrays, catalog, coding  # noqa: F401  they add their queries to the catalogue
+from seqloom.plans import arrays, catalog, coding, strings  # noqa: F401  they add their queries to the catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -68,7 +68,7 @@ def test_longest_matches():
 
 def test_distributed_suffix_ranks(spark):
     s = b"ACGTACGTTTACGNACGT" * 3
-    got = suffix.suffix_ranks(spark.createDataFrame(list(enumerate(s)), "pos long, code int")).collect()
+    got = suffix.suffix_ranks(spark.createDataFrame([(i, x - 64) for i, x in enumerate(s)], "pos long, code long")).collect()
     assert [r.pos for r in sorted(got, key=lambda r: r["rank"])] == sorted(range(len(s)), key=lambda i: s[i:])
 
 
@@ -82,11 +82,10 @@ def test_suffix_order_of_documents(spark, tmp_path):
     from pyspark.sql import functions as F
 
     from seqloom.functions import text as T
-    from seqloom.plans import coding
-
+    
     rows = [(3, "gattaca ACGT acgt"), (1, "banana acgtacgt"), (2, None), (4, ""), (5, "acgtNN acgt")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     cleaned = spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", T.clean(F.col("text")).alias("s")).orderBy("doc_id").collect()
     x = "".join(r.s or "" for r in cleaned)
-    got = {r.pos: r["rank"] for r in coding.suffix_order_of_documents(spark, str(tmp_path)).collect()}
+    got = {r.pos: r["rank"] for r in strings.suffix_order_of_documents(spark, str(tmp_path)).collect()}
     assert got == {p: k for k, p in enumerate(sorted(range(len(x)), key=lambda i: x[i:]))} and x
