@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -261,15 +261,17 @@ def packed_places(chars: DataFrame, letters: int = 10) -> DataFrame:
     return both.mapInPandas(run, "pos long, key long")
 
 
-def suffix_ranks(chars: DataFrame, rounds: int = 64, letters: int = 10) -> DataFrame:
+def suffix_ranks(chars: DataFrame, rounds: int = 64, letters: int = 10, among: Column | None = None) -> DataFrame:
     """pos, rank of one text of any length, from its rows (pos, code): ranks of packed letters, then prefix doubling, each round a shuffle by rank and one by position.
 
     Codes are 1 to 63, positions without gaps from 0. Only suffixes whose rank is still shared are ranked again; each
-    round's ranks are a checkpoint.
+    round's ranks are a checkpoint. among: a condition on pos; only such positions are ranked, among themselves. With a
+    position all those that follow at multiples of letters must be among them.
     """
     from .scans import running
 
-    keys = packed_places(chars, letters).checkpoint()
+    keys = packed_places(chars, letters)
+    keys = (keys if among is None else keys.where(among)).checkpoint()
     first = running(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"], "n", "sum", "rank", exclusive=True)
     ranks = keys.join(first, "key").select("pos", F.col("rank").cast("long").alias("rank"), (F.col("n") > 1).alias("open")).checkpoint()
     h = letters
@@ -311,3 +313,38 @@ def common_to(chars: DataFrame, ranks: DataFrame, most: int, letters: int = 10)
     for x in done:
         out = out.union(x)
     return out.select("rank", "pos", "before", F.least("lcp", F.lit(most)).cast("long").alias("lcp"))
+
+
+def three_way_rows(chars: DataFrame) -> DataFrame:
+    """pos, third (pos mod 3), c0, c1, r1, r2: letters at and after each position, and ranks of the sampled suffixes one and two on (0 beyond the end).
+
+    The sample is every position that 3 doesn't divide, ranked by packed letters and doubling.
+    """
+    ranked = suffix_ranks(chars, letters=9, among=F.col("pos") % 3 != 0).checkpoint()
+    on = lambda k: ranked.select((F.col("pos") - k).alias("pos"), (F.col("rank") + 1).alias(f"r{k}"))
+    own = ranked.withColumnRenamed("rank", "r0")
+    c1 = chars.select((F.col("pos") - 1).alias("pos"), F.col("code").alias("c1"))
+    rows = chars.withColumnRenamed("code", "c0").join(c1, "pos", "left").join(own, "pos", "left").join(on(1), "pos", "left").join(on(2), "pos", "left")
+    return rows.select("pos", (F.col("pos") % 3).alias("third"), "c0", F.coalesce("c1", F.lit(0)).alias("c1"), "r0", F.coalesce("r1", F.lit(0)).alias("r1"), F.coalesce("r2", F.lit(0)).alias("r2")).checkpoint()
+
+
+def three_way_order(chars: DataFrame) -> DataFrame:
+    """pos, rank of one text by sampling two suffixes of three and merging in the rest.
+
+    A suffix at a multiple of 3 compares with one at 1 mod 3 by a letter and the rank after it, with one at 2 mod 3 by
+    two letters and the rank after them: two sorts give the numbers of each kind before it, and theirs of its own kind.
+    """
+    from .scans import running
+
+    rows = three_way_rows(chars)
+    kind = lambda k: (F.col("third") == k).cast("long")
+
+    def counted(third: int, order: list[str]) -> DataFrame:
+        some = rows.where(F.col("third").isin(0, third)).withColumn("zero", kind(0)).withColumn("other", kind(third))
+        return running(running(some, [*order, "pos"], "zero", "sum", "zeros", exclusive=True), [*order, "pos"], "other", "sum", "others", exclusive=True)
+
+    one, two = counted(1, ["c0", "r1"]), counted(2, ["c0", "c1", "r2"])
+    from_two = two.where("third = 0").select("pos", F.col("others").alias("twos"))
+    zeros = one.where("third = 0").join(from_two, "pos").select("pos", (F.col("zeros") + F.col("others") + F.col("twos")).alias("rank"))
+    rest = one.where("third = 1").union(two.where("third = 2")).select("pos", (F.col("r0") + F.col("zeros")).alias("rank"))
+    return zeros.union(rest).select("pos", F.col("rank").cast("long").alias("rank"))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from seqloom.operators import suffix
-from seqloom.plans import arrays, catalog, coding, strings  # noqa: F401  they add their queries to the catalogue
+from seqloom.plans import arrays, catalog, coding, sequences, strings  # noqa: F401  they add their queries to the catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
