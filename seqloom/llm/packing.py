@@ -49,6 +49,20 @@ def plain_end(c: str) -> bool:
     return all(unicodedata.category(x)[0] in "LN" for x in c + unicodedata.normalize("NFC", c).lower())
 
 
+class Known(dict):
+    """Ids of words. A word without any gets, until they are known, a mark that no id has and its number among the new ones, 15 bits a unit."""
+
+    def of(self, unit: int) -> Known:
+        self.mark, self.unit, self.new = b"\xff" * unit, unit, []
+        return self
+
+    def __missing__(self, word: bytes) -> bytes:
+        i = len(self.new)
+        self.new.append(word)
+        self[word] = place = self.mark + (i & 0x7FFF).to_bytes(self.unit, "little") + (i >> 15).to_bytes(self.unit, "little")
+        return place
+
+
 class CachedTokenizer:
     """Ids of whole texts from ids of their white-space separated words.
 
@@ -67,7 +81,7 @@ class CachedTokenizer:
         mark = self.tokenizer.encode("|", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # stands between words that are encoded together
         self.cache_words = cache_words
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known().of(np.dtype(self.dtype).itemsize)
 
     def _encode(self, words: list[bytes]) -> None:
         """Puts the ids of words into known. Words without the mark are encoded together, the mark between them."""
@@ -82,35 +96,54 @@ class CachedTokenizer:
                     raw = ids.tobytes()
                     for i, a, b in zip(some, [0, *[c + ids.itemsize for c in cuts]], [*cuts, len(raw)], strict=True):
                         known[words[i]] = raw[a:b]
-        rest = [i for i, w in enumerate(words) if w not in known]
+        rest = [i for i, w in enumerate(words) if self._unknown(w)]
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
             known[words[i]] = np.array(e.ids, self.dtype).tobytes()
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, ended, parts = self.known, [], set()
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Puts the ids of new words into known, and returns them in order."""
+        known, plan, parts = self.known, [], {}
         for w in words:
             core = w.rstrip(ASCII_MARKS)
             if core != w and core and (core[-1:].isalnum() or core[-1] >= 128 and plain_end(core.decode()[-1])):
                 marks = w[len(core) :]
-                ended.append((w, core, marks))  # marks after a letter or digit are tokens of their own
-                parts.add(core)
-                parts.add(marks)
+                plan.append((core, marks))  # marks after a letter or digit are tokens of their own
+                parts[core] = parts[marks] = None
             else:
-                parts.add(w)
-        self._encode([p for p in parts if p not in known])
-        for w, core, marks in ended:
-            known[w] = known[core] + known[marks]
+                plan.append((w, b""))
+                parts[w] = None
+        self._encode([p for p in parts if self._unknown(p)])
+        own = [known[core] + known[marks] if marks else known[core] for core, marks in plan]
+        known.update(zip(words, own, strict=True))
+        known.new = []
+        return own
+
+    def _unknown(self, word: bytes) -> bool:
+        ids = self.known.get(word)
+        return ids is None or ids.startswith(self.known.mark)
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """For each text its ids and then end, as little-endian bytes of self.dtype."""
+        """For each text its ids and then end, as little-endian bytes of self.dtype.
+
+        One look-up a word: a new one is given a mark and a number in the place of its ids, and those are filled in when
+        all new words of the texts are encoded together.
+        """
         tail = np.array([end], self.dtype).tobytes()
         if len(self.known) > self.cache_words:  # the older half goes
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-        raw = [t.encode() for t in texts]
-        words = [(x if BEYOND.search(x) else x.lower()).split() for x in raw]
-        self._learn(set(chain.from_iterable(words)).difference(self.known))
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) + tail for w in words]
+            self.known = Known(islice(self.known.items(), len(self.known) // 2, None)).of(np.dtype(self.dtype).itemsize)
+        get, mark, out = self.known.__getitem__, self.known.mark, []
+        for t in texts:
+            x = t.encode()
+            out.append(b"".join(map(get, (x if BEYOND.search(x) else x.lower()).split())))
+        own = self._learn(self.known.new)
+        if own:
+            unit = len(mark)
+            number = lambda p: int.from_bytes(p[:unit], "little") | int.from_bytes(p[unit : 2 * unit], "little") << 15
+            for i, x in enumerate(out):
+                first, *rest = x.split(mark)
+                if rest:
+                    out[i] = b"".join([first, *chain.from_iterable((own[number(p)], p[2 * unit :]) for p in rest)])
+        return [x + tail for x in out]
 
 
 def chunks(texts: pd.Series, limit: int = CHUNK_CHARS) -> Iterator[slice]:
