@@ -158,7 +158,7 @@ def codec_block_info(spark, d):
 
 @query(SAME)
 def repeats_round_trip(spark, d):
-    return there_and_back(texts(spark, d), lambda x: codec.restore_repeats(codec.predict_repeats(x, 32), 32))
+    return there_and_back(texts(spark, d), lambda x: codec.restore_parts(codec.predict_parts(x, 32), 32))
 
 
 @query(SAME)
@@ -171,6 +171,12 @@ def run_ranks_round_trip(spark, d):
     return there_and_back(texts(spark, d), lambda x: codec.undo_run_ranks(*codec.run_ranks(x)))
 
 
+@query(SAME)
+def mixed_coder_round_trip(spark, d):
+    """Through the coder that mixes three estimates."""
+    return there_and_back(texts(spark, d), lambda x: codec.entropy_decode(codec.entropy_encode(x, codec.MIXED), codec.MIXED))
+
+
 @query(SAME)
 def range_coder_round_trip(spark, d):
     return there_and_back(texts(spark, d), lambda x: codec.entropy_decode(codec.entropy_encode(x)))
