@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -28,10 +30,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables that saved() has written and nothing has deleted yet.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """When the driver's Python ends, lazy results can't be read any more: their tables go. A session that is stopped already leaves them."""
+    for path, spark in list(_WRITTEN.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+    _WRITTEN.clear()
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._seqloom_path = path
@@ -43,9 +65,8 @@ def drop_saved(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_seqloom_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+            _WRITTEN.pop(path, None)
             df._seqloom_path = None
 
 
