@@ -72,7 +72,7 @@ def kmer_counts(df: DataFrame, seq: str, k: int, piece: int = 1 << 20) -> DataFr
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shifts = np.arange(k - 1, -1, -1) * 5
 
-        def counted(texts: list[str]) -> pd.DataFrame:
+        def counted(texts: list[str]) -> Iterator[pd.DataFrame]:
             # a letter below A between sequences keeps stretches from running on
             a = np.frombuffer("@".join(texts).encode(), np.uint8).astype(np.int64) - 64
             m = max(0, len(a) - k + 1)
@@ -81,8 +81,9 @@ def kmer_counts(df: DataFrame, seq: str, k: int, piece: int = 1 << 20) -> DataFr
                 key = key << 5 | a[j : j + m]
                 whole &= a[j : j + m] > 0
             codes, n = np.unique(key[whole], return_counts=True)
-            names = ((codes[:, None] >> shifts & 31) + 64).astype(np.uint8).tobytes().decode()
-            return pd.DataFrame({"k": [names[i : i + k] for i in range(0, len(names), k)], "n": n})
+            if len(codes):
+                names = ((codes[:, None] >> shifts & 31) + 64).astype(np.uint8).tobytes().decode()
+                yield pd.DataFrame({"k": [names[i : i + k] for i in range(0, len(names), k)], "n": n})
 
         some, size = [], 0
         for b in batches:
@@ -91,10 +92,10 @@ def kmer_counts(df: DataFrame, seq: str, k: int, piece: int = 1 << 20) -> DataFr
                     some.append(s[i : i + piece + k - 1])
                     size += len(some[-1])
                     if size >= piece:
-                        yield counted(some)
+                        yield from counted(some)
                         some, size = [], 0
         if some:
-            yield counted(some)
+            yield from counted(some)
 
     return df.select(seq).mapInPandas(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
 

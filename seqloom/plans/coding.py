@@ -38,11 +38,6 @@ def longest_match(spark, d):
     return delta.match_table(pairs(spark, d)).withColumnRenamed("id", "doc_id")
 
 
-@query()
-def match_sweep(spark, d):
-    return delta.sweep_table(pairs(spark, d)).withColumnRenamed("id", "doc_id")
-
-
 @query()
 def match_cover(spark, d):
     return delta.cover_table(pairs(spark, d)).withColumnRenamed("id", "doc_id")
@@ -76,11 +71,6 @@ def verify_decoded(spark, d):
     return coded_and_back(spark, d).select(F.col("id").alias("doc_id"), F.length("was").cast("long").alias("n"), same.cast("long").alias("n_equal"))
 
 
-@query()
-def acs_distance(spark, d):
-    return delta.distance_table(pairs(spark, d)).withColumnRenamed("id", "doc_id")
-
-
 @query()
 def kmismatch_distance(spark, d):
     return delta.distance_table(pairs(spark, d), 2).withColumnRenamed("id", "doc_id")

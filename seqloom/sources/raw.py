@@ -13,7 +13,7 @@ def padded(data: Column, multiple: int) -> Column:
 
 
 def read_padded(spark: SparkSession, path: str | list[str], multiple: int = 8) -> DataFrame:
-    """path, length, data of whole files, data padded with zeros to a multiple of a length. A file has to fit into a task."""
+    """path, length, data of whole files, data padded with zeros to a multiple of a length. A file has to fit into a task; an empty one has no row."""
     return spark.read.format("binaryFile").load(path).select("path", "length", padded(F.col("content"), multiple).alias("data"))
 
 
