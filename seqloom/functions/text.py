@@ -100,6 +100,26 @@ def kmer_counts(df: DataFrame, seq: str, k: int, piece: int = 1 << 20) -> DataFr
     return df.select(seq).mapInPandas(run, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
+def stretch_keys(df: DataFrame, id_col: str, seq: str, k: int) -> DataFrame:
+    """id, k: a 64-bit hash of each different stretch of k letters of each sequence, from sums over powers of an odd number."""
+    base = np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, s in zip(b["i"], b["s"], strict=True):
+                a = np.frombuffer((s or "").encode(), np.uint8).astype(np.uint64)
+                n = max(0, len(a) - k + 1)
+                h = np.zeros(n, np.uint64)
+                for j in range(k):
+                    h = h * base + a[j : j + n]
+                    h ^= h >> np.uint64(31)
+                if n:
+                    yield pd.DataFrame({"id": i, "k": np.unique(h).view(np.int64)})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("i"), F.col(seq).alias("s")).mapInPandas(run, f"id {kind}, k long")
+
+
 def _cased(upper: pd.Series, lengths: pd.Series, low: pd.Series) -> pd.Series:
     out = []
     for s, n, first in zip(upper, lengths, low, strict=True):

@@ -15,8 +15,8 @@ from ..sources import fasta
 from .catalog import CLEAN, kmer_count, query, t
 
 LETTERS = "regexp_replace(text, '[^A-Za-z]', '', 'g')"
-#: Items and letters up to which references and their stretches, some 22 letters for each letter, are broadcast; both are counted first.
-BROADCAST_ITEMS, BROADCAST_LETTERS = 100_000, 1 << 20
+#: Items and letters up to which references and their stretches, 16 bytes for each letter, are broadcast; both are counted first.
+BROADCAST_ITEMS, BROADCAST_LETTERS = 100_000, 4 << 20
 
 
 def pairs(spark, d) -> DataFrame:
@@ -24,10 +24,10 @@ def pairs(spark, d) -> DataFrame:
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.length("reference"))).first()
     small = F.broadcast if n <= BROADCAST_ITEMS and (size or 0) <= BROADCAST_LETTERS else lambda x: x
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("target"), F.col("doc_id").cast("string").alias("header"))
-    stretches = F.explode(F.array_distinct(F.regexp_extract_all("s", F.lit(f"(?=(.{{{delta.MIN_MATCH + 1}}}))"), 1))).alias("k")
     # a document's stretches meet the items' where they are made; only those found are grouped
-    of_items = small(items.select("place", T.clean(F.col("reference")).alias("s")).select("place", stretches).distinct())
-    found = docs.select("id", T.clean(F.col("target")).alias("s")).select("id", stretches).join(of_items, "k").groupBy("id", "place").agg(F.count(F.lit(1)).alias("n"))
+    stretches = lambda df, key, text: T.stretch_keys(df.select(key, T.clean(F.col(text)).alias("s")), key, "s", delta.MIN_MATCH + 1)
+    of_items = small(stretches(items, "place", "reference").withColumnRenamed("id", "place"))
+    found = stretches(docs, "id", "target").join(of_items, "k").groupBy("id", "place").agg(F.count(F.lit(1)).alias("n"))
     best = found.groupBy("id").agg(F.max_by("place", F.struct("n", -F.col("place"))).alias("best"))
     chosen = docs.join(best, "id", "left").withColumn("place", F.coalesce("best", F.pmod("id", F.lit(max(n, 1)))))
     return chosen.join(small(items.select("place", "reference", F.col("item_id").cast("string").alias("reference_header"))), "place", "left").drop("place", "best")
