@@ -60,10 +60,17 @@ def runs(text: Column, pattern: str) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(f"({pattern}+|(?!{pattern}).)"), 1), lambda x: F.length(x) > 0)
 
 
-def letter_counts(df: DataFrame, seq: str) -> DataFrame:
-    """ch, n for each of A to Z over all upper-case sequences: lengths with and without the letter, no row for a character."""
-    sums = df.agg(*[F.sum(F.length(seq) - F.length(F.replace(F.col(seq), F.lit(c), F.lit("")))).alias(c) for c in UPPER])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("ch"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n")) for c in UPPER])).alias("x")).select("x.ch", "x.n")
+def letter_counts(df: DataFrame, text: str) -> DataFrame:
+    """ch, n for each of A to Z over all texts, either case; other characters don't count. One row a task is summed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(256, np.int64)
+        for b in batches:
+            for s in b[text].dropna():
+                total += np.bincount(np.frombuffer(s.encode(), np.uint8), minlength=256)
+        yield pd.DataFrame({"ch": list(UPPER), "n": [int(total[ord(u)] + total[ord(v)]) for u, v in zip(UPPER, LOWER, strict=True)]})
+
+    return df.select(text).mapInPandas(run, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
 
 
 def kmer_counts(df: DataFrame, seq: str, k: int, piece: int = 1 << 20) -> DataFrame:

@@ -190,7 +190,7 @@ CLEAN = "upper(regexp_replace(text, '[^A-Za-z]', '', 'g'))"
 
 @query(f"WITH c AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split({CLEAN}, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1) SELECT ch, n, (sum(n) OVER (ORDER BY ch) - n)::BIGINT AS begin, sum(n) OVER (ORDER BY ch)::BIGINT AS stop FROM c")
 def byte_histogram(spark, d):
-    c = T.letter_counts(t(spark, d, "documents").select(T.clean(F.col("text")).alias("s")), "s").where("n > 0")
+    c = T.letter_counts(t(spark, d, "documents"), "text").where("n > 0")
     w = F.sum("n").over(Window.orderBy("ch").rowsBetween(Window.unboundedPreceding, 0))
     return c.select("ch", "n", (w - F.col("n")).alias("begin"), w.alias("stop"))
 
