@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, saved
 
 #: Words whose ids a worker keeps; beyond it the older half is forgotten before the next texts.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 750_000
 #: Marks that never join a letter or digit before them in one token.
 ASCII_MARKS = b".,;:!?%$#&*|"
 #: A byte of a character from U+0300 on, where combining marks begin.
